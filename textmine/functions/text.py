@@ -47,23 +47,32 @@ def array_lit(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def drop_token_filter(remove_numbers: bool, remove_punct: bool, remove_symbols: bool,
-                      remove_url: bool):
-    """Lambda for ``F.filter`` removing token classes by flag."""
-    pats = []
-    if remove_url:
-        pats.append(URL_RE)
+def drop_token_regex(remove_numbers: bool, remove_punct: bool, remove_symbols: bool,
+                     remove_url: bool) -> str | None:
+    """One anchored regex matching every token class to drop (a single regex
+    test per token instead of one per class)."""
+    whole = []
     if remove_numbers:
-        pats.append(NUMBER_RE)
+        whole.append(NUMBER_RE[1:-1])
     if remove_punct:
-        pats.append(PUNCT_RE)
+        whole.append(PUNCT_RE[1:-1])
     if remove_symbols:
-        pats.append(SYMBOL_RE)
+        whole.append(SYMBOL_RE[1:-1])
+    alts = []
+    if remove_url:
+        alts.append(URL_RE[1:])
+    if whole:
+        alts.append("(?:" + "|".join(whole) + ")$")
+    return ("^(?:" + "|".join(alts) + ")") if alts else None
+
+
+def drop_token_filter(remove_numbers: bool, remove_punct: bool, remove_symbols: bool,
+                      remove_url: bool):
+    """Lambda for ``F.filter`` removing empty tokens and token classes by flag."""
+    rx = drop_token_regex(remove_numbers, remove_punct, remove_symbols, remove_url)
 
     def keep(x: Column) -> Column:
         cond = x != F.lit("")
-        for p in pats:
-            cond = cond & ~x.rlike(p)
-        return cond
+        return cond if rx is None else (cond & ~x.rlike(rx))
 
     return keep

@@ -6,18 +6,14 @@ views, independently of the Spark plan (long forms, joins and windows).
 
 from __future__ import annotations
 
-from textmine.functions.text import (
-    NUMBER_RE, PUNCT_RE, SYMBOL_RE, URL_RE, WORD_TOKEN_RE, sql_str,
-)
+from textmine.functions.text import WORD_TOKEN_RE, drop_token_regex, sql_str
 from textmine.sources.testdata import INJECT_SQL, LABEL_SQL
 
 
 def token_filter(var="x", numbers=False, punct=False, symbols=False, url=False) -> str:
-    conds = [f"{var} <> ''"]
-    for flag, rx in ((url, URL_RE), (numbers, NUMBER_RE), (punct, PUNCT_RE), (symbols, SYMBOL_RE)):
-        if flag:
-            conds.append(f"NOT regexp_matches({var}, {sql_str(rx)})")
-    return " AND ".join(conds)
+    rx = drop_token_regex(numbers, punct, symbols, url)
+    cond = f"{var} <> ''"
+    return cond if rx is None else f"{cond} AND NOT regexp_matches({var}, {sql_str(rx)})"
 
 
 def word_tokens(text="text", **flags) -> str:
@@ -51,3 +47,54 @@ def explode(src: str, arr: str, keep="doc_id") -> str:
     """Long form with 1-based positions."""
     return (f"SELECT {keep}, unnest(_a) AS term, CAST(generate_subscripts(_a, 1) AS INTEGER) AS pos "
             f"FROM (SELECT {keep}, {arr} AS _a FROM ({src}))")
+
+
+# ------------------------------------------------------------ markers (C)
+def c1(text: str, target="CIT", other="OTH", markup="bare") -> str:
+    from textmine.operators.markers import _q
+    for m in (target, other):
+        rx = f"(?i)<({_q(m)})>.+?</({_q(m)})>" if markup == "tags" else f"(?i)<({_q(m)})>"
+        text = f"regexp_replace({text}, {sql_str(rx)}, {sql_str(m)}, 'g')"
+    return text
+
+
+def c2(text: str, target="CIT", other="OTH") -> str:
+    from textmine.operators.markers import group_rules
+    for rx, rep in group_rules(target, other):
+        text = f"regexp_replace({text}, {sql_str(rx)}, {sql_str(rep)}, 'g')"
+    return text
+
+
+def c3(text: str, target="CIT", other="OTH") -> str:
+    """Look-around replaced by capture groups (RE2 has no look-around)."""
+    from textmine.operators.markers import _q, marker_order
+    for m in marker_order(target, other):
+        rx = f"(^|[,;'\".] ){_q(m)}(SYN)*( [[:alnum:]])"
+        text = f"regexp_replace({text}, {sql_str(rx)}, {sql_str(chr(92) + '1' + m + 'SYN' + chr(92) + '3')}, 'g')"
+    return text
+
+
+def c4(text: str, preps, target="CIT", other="OTH") -> str:
+    from textmine.operators.markers import _q, marker_order, prep_lookbehind
+    alt = prep_lookbehind(preps)
+    for m in marker_order(target, other):
+        rx = f"({alt}) {_q(m)}"
+        text = f"regexp_replace({text}, {sql_str(rx)}, {sql_str(chr(92) + '1 ' + m + 'SYN')}, 'g')"
+    return text
+
+
+def c5(text: str, target="CIT", other="OTH", glue=True) -> str:
+    from textmine.operators.markers import _q, marker_order
+    for m in marker_order(target, other):
+        text = f"regexp_replace({text}, {sql_str(f' ({_q(m)})([^A-z]|$)')}, {sql_str('' if glue else ' ')}, 'g')"
+    return text
+
+
+def clean_text(text: str, preps) -> str:
+    return c5(c4(c3(c2(c1(text))), preps))
+
+
+def values(rows, cols) -> str:
+    """VALUES table literal."""
+    body = ", ".join("(" + ", ".join(sql_str(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {body}) AS v({', '.join(cols)}))"
