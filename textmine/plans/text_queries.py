@@ -250,3 +250,271 @@ def q_count_histogram(spark, sf_dir):
     m = td.marked_corpus(spark, sf_dir, labelled=True)
     return (m.select("label", mk.count_references_col(F.col("text")).alias("count"))
             .groupBy("label", "count").agg(F.count(F.lit(1)).alias("n_docs")))
+
+
+# ===================================================== feature tables (D)
+SQL_UNI_COUNTS_ALL_ = f"SELECT doc_id, lower(term) AS feature, count(*) AS n FROM ({S.explode(S.DOCS, S.word_tokens(**UNIGRAM_SQL_FLAGS))}) GROUP BY ALL"
+
+
+@query("dfm_boolean", f"SELECT doc_id, feature, CAST(1 AS BIGINT) AS n FROM ({SQL_UNI_COUNTS_ALL_})")
+def q_dfm_boolean(spark, sf_dir):
+    """D3 boolean weights."""
+    return ft.weight_boolean(unigram_counts(spark, sf_dir, labelled=False))
+
+
+def sql_lookup(counts_sql: str, dictionary: dict, boolean=False) -> str:
+    rows = [(k, glob_to_regex(p.lower())) for k, pats in dictionary.items() for p in pats]
+    d = S.values(rows, ["key", "rx"])
+    val = "CAST(1 AS BIGINT)" if boolean else "CAST(sum(n) AS BIGINT)"
+    return (f"WITH c AS ({counts_sql}), m AS (SELECT DISTINCT c.doc_id, d.key, c.feature, c.n FROM c JOIN {d} d "
+            f"ON regexp_matches(lower(c.feature), d.rx)) SELECT doc_id, key AS feature, {val} AS n FROM m GROUP BY doc_id, key")
+
+
+JX_DICT = lexicon_dictionary(SEM_NEGATION)
+JR_DICT = lexicon_dictionary(SEM_NEGATION_WITH_NT)
+
+
+@query("dfm_lookup", sql_lookup(f"SELECT doc_id, lower(term) AS feature, count(*) AS n FROM "
+                                f"({S.explode(SQL_CLEAN, S.word_tokens())}) GROUP BY ALL", JX_DICT))
+def q_dfm_lookup(spark, sf_dir):
+    """D4 dictionary lookup (pronoun and negation keys), counts."""
+    toks = tk.explode_tokens(tk.tokenize_words(clean_corpus(spark, sf_dir)))
+    return lx.lexicon_features(toks, JX_DICT, boolean=False)
+
+
+@query("dfm_group", f"SELECT label, feature, CAST(sum(n) AS BIGINT) AS n FROM ({SQL_UNI_COUNTS_LAB}) GROUP BY ALL")
+def q_dfm_group(spark, sf_dir):
+    """D5 documents collapsed to classes."""
+    return ft.dfm_group(unigram_counts(spark, sf_dir))
+
+
+SQL_FREQ = f"SELECT label, feature, CAST(sum(n) AS BIGINT) AS frequency, count(*) AS docfreq FROM ({SQL_UNI_COUNTS_LAB}) GROUP BY ALL"
+
+
+@query("frequency_rank", f"SELECT * FROM (SELECT *, CAST(rank() OVER (PARTITION BY label ORDER BY frequency DESC) AS INTEGER) AS rank "
+       f"FROM ({SQL_FREQ})) WHERE rank <= 100000")
+def q_frequency_rank(spark, sf_dir):
+    """D6 class frequency with min-tie rank (first 100000 ranks)."""
+    return ft.rank_within(ft.frequency(unigram_counts(spark, sf_dir)), n=100000, ties="min")
+
+
+@query("top_features", f"SELECT DISTINCT feature FROM (SELECT *, rank() OVER (PARTITION BY label ORDER BY frequency DESC) AS r "
+       f"FROM ({SQL_FREQ})) WHERE r <= 1000")
+def q_top_features(spark, sf_dir):
+    """D8 per-class top 1000 by count, min ties, distinct features."""
+    return ft.top_features(unigram_counts(spark, sf_dir), k=1000, ties="min")
+
+
+@query("top_features_random", f"SELECT DISTINCT feature FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY frequency DESC, "
+       f"md5(concat(feature, ':1'))) AS r FROM ({SQL_FREQ})) WHERE r <= 10000")
+def q_top_features_random(spark, sf_dir):
+    """D9 per-class first 10000 by count, seeded random ties."""
+    return ft.top_features(unigram_counts(spark, sf_dir), k=10000, ties="random", seed=1)
+
+
+@query("select_features", f"SELECT doc_id, feature, round(weight, 6) AS weight FROM ({sql_tfidf(SQL_UNI_COUNTS_LAB, S.LABELLED)}) "
+       f"WHERE feature IN (SELECT feature FROM ({sql_dictionary_builder(SQL_UNI_COUNTS_LAB)}))")
+def q_select_features(spark, sf_dir):
+    """D10 tf-idf table restricted to the selected vocabulary."""
+    counts = unigram_counts(spark, sf_dir, persist=True)
+    n = n_docs(spark, sf_dir)
+    w = ft.select_features(ft.tfidf(counts, n_docs=n), dictionary_vocab(counts, n))
+    return w.select("doc_id", "feature", F.round("weight", 6).alias("weight"))
+
+
+def sql_keyness(target: str, measure: str) -> str:
+    g = f"SELECT label, feature, sum(n) AS n FROM ({SQL_UNI_COUNTS_LAB}) GROUP BY ALL"
+    per = (f"SELECT feature, CAST(sum(CASE WHEN label = '{target}' THEN n ELSE 0 END) AS DOUBLE) AS n_target, "
+           f"CAST(sum(CASE WHEN label <> '{target}' THEN n ELSE 0 END) AS DOUBLE) AS n_reference FROM ({g}) GROUP BY feature")
+    if measure == "chi2":
+        stat = ("CASE WHEN den = 0 THEN NULL ELSE (CASE WHEN a < e THEN -1 ELSE 1 END) * "
+                "nn * pow(greatest(0.0, abs(a * d - b * c) - nn / 2), 2) / den END")
+    else:
+        stat = "CASE WHEN a > 0 THEN ln(a / e) END"
+    return (f"WITH per AS ({per}), tot AS (SELECT sum(n_target) AS t, sum(n_reference) AS r FROM per), "
+            f"x AS (SELECT feature, n_target, n_reference, n_target AS a, n_reference AS b, t - n_target AS c, r - n_reference AS d "
+            f"FROM per CROSS JOIN tot), y AS (SELECT *, a + b + c + d AS nn, (a + b) * (c + d) * (a + c) * (b + d) AS den FROM x), "
+            f"z AS (SELECT *, (a + b) * (a + c) / nn AS e FROM y) "
+            f"SELECT feature, n_target, n_reference, round({stat}, 6) + 0.0 AS {measure} FROM z")
+
+
+@query("keyness_chi2", sql_keyness("n", "chi2"))
+def q_keyness_chi2(spark, sf_dir):
+    """D16 chi-squared keyness of class n against the rest."""
+    k = ft.keyness(ft.dfm_group(unigram_counts(spark, sf_dir)), "n", measure="chi2")
+    return k.select("feature", "n_target", "n_reference", *_r6("chi2"))
+
+
+@query("keyness_pmi", sql_keyness("o", "pmi"))
+def q_keyness_pmi(spark, sf_dir):
+    """D16 pointwise mutual information of class o against the rest."""
+    k = ft.keyness(ft.dfm_group(unigram_counts(spark, sf_dir)), "o", measure="pmi")
+    return k.select("feature", "n_target", "n_reference", *_r6("pmi"))
+
+
+@query("keyness_head", f"SELECT feature, chi2 FROM ({sql_keyness('n', 'chi2')}) ORDER BY chi2 DESC NULLS LAST, feature LIMIT 10")
+def q_keyness_head(spark, sf_dir):
+    """D17 head of the keyness list (top 10 by chi2)."""
+    k = ft.keyness(ft.dfm_group(unigram_counts(spark, sf_dir)), "n", measure="chi2")
+    k = k.select("feature", F.round("chi2", 6).alias("chi2"))
+    return k.orderBy(F.col("chi2").desc_nulls_last(), "feature").limit(10)
+
+
+# ====================================================== annotation (E)
+SQL_TAGS = f"SELECT doc_id, tid AS pos, lemma || '_' || upos AS term FROM ({SQL_ANNOT})"
+
+
+@query("tagged_text", f"SELECT doc_id, string_agg(term, ' ' ORDER BY pos) AS text FROM ({SQL_TAGS}) GROUP BY doc_id")
+def q_tagged_text(spark, sf_dir):
+    """E6/AG1 lemma_UPOS tags joined in token order per document."""
+    return px.tagged_text(annotations(spark, sf_dir))
+
+
+SQL_CLOSEST_POS = f"""WITH tags AS ({SQL_TAGS}),
+tg AS (SELECT doc_id, pos FROM tags WHERE regexp_matches(term, {sql_str(TARGET_RX_TAG)})),
+cand AS (SELECT * FROM (SELECT doc_id, pos, term, CASE WHEN contains(term, '_VERB') THEN 'VERB' WHEN contains(term, '_ADJ') THEN 'ADJ'
+         WHEN contains(term, '_ADV') THEN 'ADV' END AS cls FROM tags) WHERE cls IS NOT NULL),
+pr AS (SELECT c.doc_id, c.cls, c.pos, c.term, min(abs(c.pos - t.pos)) AS d FROM cand c JOIN tg t ON c.doc_id = t.doc_id GROUP BY ALL),
+best AS (SELECT doc_id, cls, regexp_replace(term, '_(VERB|ADJ|ADV)', '', 'g') AS closest FROM
+         (SELECT *, row_number() OVER (PARTITION BY doc_id, cls ORDER BY d, pos) AS rn FROM pr) WHERE rn = 1),
+docs AS (SELECT DISTINCT doc_id FROM tags),
+cp AS (SELECT docs.doc_id, coalesce(max(CASE WHEN cls = 'VERB' THEN closest END), '') AS verb,
+       coalesce(max(CASE WHEN cls = 'ADJ' THEN closest END), '') AS adj,
+       coalesce(max(CASE WHEN cls = 'ADV' THEN closest END), '') AS adv
+       FROM docs LEFT JOIN best ON docs.doc_id = best.doc_id GROUP BY docs.doc_id)"""
+
+
+def closest_pos_df(spark, sf_dir):
+    tagged = px.tagged_tokens(annotations(spark, sf_dir))
+    return px.closest_pos(tagged, TARGET_RX_TAG)
+
+
+@query("closest_pos", SQL_CLOSEST_POS + " SELECT * FROM cp")
+def q_closest_pos(spark, sf_dir):
+    """E1 closest verb / adjective / adverb to the target marker."""
+    return closest_pos_df(spark, sf_dir)
+
+
+@query("closest_dfm", SQL_CLOSEST_POS + """, tx AS (SELECT doc_id, list_filter(string_split(concat_ws(' ', verb, adj, adv), ' '),
+       lambda x: x <> '') AS toks FROM cp)
+       SELECT doc_id, lower(t) AS feature, count(*) AS n FROM (SELECT doc_id, unnest(toks) AS t FROM tx) GROUP BY ALL""")
+def q_closest_dfm(spark, sf_dir):
+    """E3 closest items as document features."""
+    return lx.closest_dfm(closest_pos_df(spark, sf_dir), ["verb", "adj", "adv"])
+
+
+SQL_WORDS = S.values([(w,) for w in td.TEST_SUBJECTIVE], ["word"])
+SQL_CLOSEST_SUBJ = f"""WITH c AS ({SQL_CLEAN}),
+t AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS term, generate_subscripts(string_split(coalesce(text, ''), ' '), 1) AS pos FROM c),
+tg AS (SELECT doc_id, pos FROM t WHERE regexp_matches(term, {sql_str(TARGET_RX_WORD)})),
+cand AS (SELECT * FROM t WHERE term IN (SELECT word FROM {SQL_WORDS})),
+pr AS (SELECT c.doc_id, c.pos, c.term, min(abs(c.pos - tg.pos)) AS d FROM cand c JOIN tg ON c.doc_id = tg.doc_id GROUP BY ALL),
+best AS (SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d, pos) AS rn FROM pr) WHERE rn = 1),
+cs AS (SELECT c.doc_id, coalesce(best.term, '') AS closest FROM c LEFT JOIN best ON c.doc_id = best.doc_id)"""
+
+
+def closest_subj_df(spark, sf_dir):
+    words = src.make_wordlist(spark, td.TEST_SUBJECTIVE)
+    return px.closest_in_list(clean_corpus(spark, sf_dir), words, TARGET_RX_WORD)
+
+
+@query("closest_subjective", SQL_CLOSEST_SUBJ + " SELECT * FROM cs")
+def q_closest_subjective(spark, sf_dir):
+    """E2 closest word of a word list to the target marker."""
+    return closest_subj_df(spark, sf_dir)
+
+
+SQL_SUBJ_DFM = (SQL_CLOSEST_SUBJ + f", sd AS (SELECT doc_id, lower(term) AS feature, count(*) AS n FROM "
+                f"({S.explode('SELECT doc_id, closest AS text FROM cs', S.word_tokens())}) GROUP BY ALL)")
+SQL_JR_LEX = sql_lookup(f"SELECT doc_id, lower(term) AS feature, count(*) AS n FROM "
+                        f"({S.explode(SQL_CLEAN, S.word_tokens())}) GROUP BY ALL", JR_DICT, boolean=True)
+
+
+def jr_lexicon_df(spark, sf_dir):
+    toks = tk.explode_tokens(tk.tokenize_words(clean_corpus(spark, sf_dir)))
+    return lx.lexicon_features(toks, JR_DICT, boolean=True)
+
+
+@query("lexicon_features", SQL_JR_LEX)
+def q_lexicon_features(spark, sf_dir):
+    """E4 pronoun / negation presence per document."""
+    return jr_lexicon_df(spark, sf_dir)
+
+
+SQL_JHA_COUNTS = f"SELECT doc_id, lower(term) AS feature, count(*) AS n FROM ({SQL_JHA_LONG}) GROUP BY ALL"
+SQL_JHA_PAIRS = (f"SELECT a.doc_id, lower(a.term || ' ' || b.term) AS feature, count(*) AS n FROM ({SQL_JHA_LONG}) a "
+                 f"JOIN ({SQL_JHA_LONG}) b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 GROUP BY ALL")
+
+
+@query("section_features", sql_lookup(f"{SQL_JHA_COUNTS} UNION ALL {SQL_JHA_PAIRS}", SECTIONS))
+def q_section_features(spark, sf_dir):
+    """E5 section keys on single tokens and adjacent pairs."""
+    return lx.section_features(tk.explode_tokens(jha_tokens(spark, sf_dir)), SECTIONS, phrases=True)
+
+
+@query("dependency_features", f"""WITH a AS ({SQL_ANNOT}), tr AS (SELECT d.doc_id, d.relation || '_' || d.lemma || '_' || h.lemma AS term
+       FROM a d JOIN a h ON d.doc_id = h.doc_id AND d.sid = h.sid AND d.tid_target = h.tid)
+       SELECT doc_id, lower(term) AS feature, count(*) AS n FROM tr GROUP BY ALL""")
+def q_dependency_features(spark, sf_dir):
+    """E7/J5 dependency triples relation_lemma_headlemma as features."""
+    return ft.dfm(px.dependency_triples(annotations(spark, sf_dir)))
+
+
+@query("combine_features", f"""WITH {SQL_CLOSEST_SUBJ.strip()[5:]}, {SQL_SUBJ_DFM.split(', sd AS', 1)[1].join(['sd AS', ''])},
+       lexf AS ({SQL_JR_LEX}), cst AS ({SQL_CITSTATS})
+       SELECT doc_id, feature, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM sd UNION ALL SELECT * FROM lexf UNION ALL SELECT * FROM cst)
+       GROUP BY ALL""")
+def q_combine_features(spark, sf_dir):
+    """D11 citation statistics + lexicon + closest subjective word combined."""
+    subj = lx.closest_dfm(closest_subj_df(spark, sf_dir), ["closest"], word_tokens=True)
+    stats = lx.citation_stats(td.marked_corpus(spark, sf_dir), MARKERS_CIT)
+    return ft.combine(stats, jr_lexicon_df(spark, sf_dir), subj)
+
+
+# ================================================= predicates, joins (P, J)
+@query("filter_any", "SELECT doc_id FROM labels WHERE quality = 1 OR toxic = 1")
+def q_filter_any(spark, sf_dir):
+    """P2 ids where any flag column equals 1."""
+    return src.filter_any(td.table(spark, sf_dir, "labels"), ["quality", "toxic"], 1).select("doc_id")
+
+
+@query("subset_docs", f"SELECT * FROM ({SQL_UNI_COUNTS_LAB}) WHERE label <> 'o'")
+def q_subset_docs(spark, sf_dir):
+    """P3 feature rows of non-neutral documents."""
+    counts = unigram_counts(spark, sf_dir)
+    keep = td.labels(spark, sf_dir).filter(F.col("label") != "o").select("doc_id")
+    return counts.join(keep, "doc_id", "left_semi")
+
+
+@query("drop_features", f"SELECT * FROM ({SQL_UNI_COUNTS_LAB}) WHERE feature IS NOT NULL AND feature <> 'na'")
+def q_drop_features(spark, sf_dir):
+    """P6 drop missing features and the literal feature 'na'."""
+    c = unigram_counts(spark, sf_dir)
+    return c.filter(F.col("feature").isNotNull() & (F.col("feature") != "na"))
+
+
+@query("semi_docs", f"SELECT DISTINCT doc_id FROM ({SQL_ANNOT}) WHERE doc_id IN (SELECT doc_id FROM labels)")
+def q_semi_docs(spark, sf_dir):
+    """P7/J4 annotated documents that are also labelled (semi join)."""
+    a = annotations(spark, sf_dir).select("doc_id").distinct()
+    return a.join(td.labels(spark, sf_dir), "doc_id", "left_semi")
+
+
+@query("section_number", f"SELECT doc_id, text FROM ({SQL_CLEAN}) WHERE regexp_matches(text, '[0-9] \\p{{Lu}}')")
+def q_section_number(spark, sf_dir):
+    """P8 texts with a digit, a space and an upper-case letter."""
+    return clean_corpus(spark, sf_dir).select("doc_id", "text").filter(F.col("text").rlike(r"[0-9] \p{Lu}"))
+
+
+@query("derive_binary", f"SELECT doc_id, label, CAST(label = 'o' AS INTEGER) AS neutral FROM ({S.LABELLED})")
+def q_derive_binary(spark, sf_dir):
+    """P10 binary neutral label derived from the class."""
+    lab = td.labelled_corpus(spark, sf_dir).select("doc_id", "label")
+    return lab.withColumn("neutral", (F.col("label") == "o").cast("int"))
+
+
+@query("with_labels_left", f"SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN {td.LABEL_SQL} END AS label "
+       f"FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def q_with_labels_left(spark, sf_dir):
+    """J2/D15 left key join re-attaching labels (unlabelled -> NULL)."""
+    return ft.with_labels(td.corpus(spark, sf_dir).select("doc_id"), td.labels(spark, sf_dir), how="left")
