@@ -64,7 +64,9 @@ def mark_syntactic_clause_col(text: Column, target="CIT", other="OTH") -> Column
     out = text
     for m in marker_order(target, other):
         qm = _q(m)
-        out = F.regexp_replace(out, f"((^{qm})|((?<=[,;'\".] ){qm}))(SYN)*(?= \\p{{Alnum}})", m + "SYN")
+        # literal first, then the left context as a look-behind (same matches
+        # as "((^M)|((?<=[,;'\".] )M))(SYN)*(?= \p{Alnum})", found much faster)
+        out = F.regexp_replace(out, f"{qm}(?<=(?:^|[,;'\".] ){qm})(SYN)*(?= \\p{{Alnum}})", m + "SYN")
     return out
 
 
@@ -83,7 +85,8 @@ def mark_syntactic_prep_col(text: Column, prepositions: list[str], target="CIT",
     alt = prep_lookbehind(prepositions)
     out = text
     for m in marker_order(target, other):
-        out = F.regexp_replace(out, f"(?<={alt}) ({_q(m)})", " " + m + "SYN")
+        # same matches as "(?<=prep) (M)"; the literal leads so the search is fast
+        out = F.regexp_replace(out, f" ({_q(m)})(?<=(?:{alt}) {_q(m)})", " " + m + "SYN")
     return out
 
 

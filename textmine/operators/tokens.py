@@ -8,7 +8,7 @@ produced by ``explode_tokens`` as late as possible.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmine.functions.text import (
@@ -72,13 +72,15 @@ def collect_tokens(long: DataFrame, id_col="doc_id", term_col="term", out="token
 
 # ------------------------------------------------------------------- n-grams
 def ngram_array(tokens: Column, n: int, sep="_") -> Column:
+    """n-grams as a zip of n shifted slices (no per-position lookup inside a
+    lambda, so the work stays linear whatever the optimizer inlines)."""
     if n == 1:
         return tokens
-    # guard: sequence(1, 0) would count down
-    return F.when(F.size(tokens) >= n,
-                  F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1),
-                              lambda i: F.array_join(F.slice(tokens, i, n), sep))
-                  ).otherwise(_empty())
+    k = F.size(tokens) - n + 1
+    grams = F.slice(tokens, 1, k)
+    for j in range(1, n):
+        grams = F.zip_with(grams, F.slice(tokens, j + 1, k), lambda a, b: F.concat(a, F.lit(sep), b))
+    return F.when(k > 0, grams).otherwise(_empty())
 
 
 def ngrams(df: DataFrame, tokens_col="tokens", ns=(1, 2, 3), sep="_", out=None) -> DataFrame:
@@ -188,81 +190,84 @@ def _parse_patterns(patterns):
     return out
 
 
-def _word_match(tok: Column, glob: str) -> Column:
-    low = F.lower(tok)
-    return low.rlike(glob_to_regex(glob)) if is_glob(glob) else (low == F.lit(glob))
+def _word_match(low_tok: Column, glob: str) -> Column:
+    return low_tok.rlike(glob_to_regex(glob)) if is_glob(glob) else (low_tok == F.lit(glob))
 
 
-def _positions(tokens: Column) -> Column:
-    return F.when(F.size(tokens) > 0, F.sequence(F.lit(1), F.size(tokens))).otherwise(
-        F.array().cast("array<int>"))
+def _shift(arr: Column, k: int) -> Column:
+    """arr shifted left by k (element i holds arr[i + k]; NULL past the end)."""
+    pad = F.array(*[F.lit(None).cast("string")] * k)
+    return F.slice(F.concat(arr, pad), k + 1, F.size(arr))
 
 
-def negation_starts(tokens: Column, patterns=NEGATION_PATTERNS) -> Column:
-    """Per position: number m of negator words of the longest match starting
-    there (the match also needs the extra token at p+m), else -1."""
+def negation_starts(df: DataFrame, tokens_col="tokens", patterns=NEGATION_PATTERNS) -> DataFrame:
+    """Adds ``_starts``: per position the number m of negator words of the
+    longest match starting there (the match also needs the extra token at
+    p+m), else -1.  Matching is case-insensitive.  The following tokens
+    are read from shifted copies zipped with the token array, and one
+    combined regex on the first word rules out most positions early."""
     pats = _parse_patterns(patterns)
-    n = F.size(tokens)
-
-    def start_len(i):
+    mmax = max(len(p) for p in pats)
+    first_rx = "|".join(f"(?:{glob_to_regex(w[0])})" for w in pats)
+    low = df.withColumn("_low", F.transform(tokens_col, F.lower))
+    for k in range(1, mmax + 1):
+        low = low.withColumn(f"_n{k}", _shift(F.col("_low"), k))
+    zipped = F.arrays_zip(F.col("_low"), *[F.col(f"_n{k}") for k in range(1, mmax + 1)])
+    names = ["_low"] + [f"_n{k}" for k in range(1, mmax + 1)]
+
+    def start_len(z):
         cands = []
         for words in pats:
             m = len(words)
-            cond = (i + m) <= n
+            cond = z[names[m]].isNotNull()            # the mandatory extra token
             for j, w in enumerate(words):
-                cond = cond & _word_match(F.element_at(tokens, i + j), w)
+                cond = cond & _word_match(z[names[j]], w)
             cands.append(F.when(cond, F.lit(m)).otherwise(F.lit(-1)))
-        return F.greatest(*cands) if len(cands) > 1 else cands[0]
-
-    return F.transform(_positions(tokens), start_len)
-
-
-def negation_flags(tokens: Column, starts: Column, window=NEGATION_WINDOW, mmax=2) -> Column:
-    """Per position struct(term, in_span, is_match) from a materialised
-    ``starts`` column.  A match of m words at p covers p..p+m and opens the
-    span p..p+m+window; only a bounded look-back (window + longest pattern)
-    is scanned per token, so the work is linear in document length."""
-
-    def flag(i):
-        lo_span = F.greatest(F.lit(1), i - (window + mmax))
-        lo_match = F.greatest(F.lit(1), i - mmax)
-        in_span = F.exists(F.sequence(lo_span, i),
-                           lambda q: (F.element_at(starts, q) >= 0)
-                           & (q + F.element_at(starts, q) + window >= i))
-        in_match = F.exists(F.sequence(lo_match, i),
-                            lambda q: (F.element_at(starts, q) >= 0)
-                            & (q + F.element_at(starts, q) >= i))
-        return F.struct(F.element_at(tokens, i).alias("term"), in_span.alias("in_span"),
-                        in_match.alias("is_match"))
+        best = F.greatest(*cands) if len(cands) > 1 else cands[0]
+        return F.when(z["_low"].rlike(first_rx), best).otherwise(F.lit(-1))
 
-    return F.transform(_positions(tokens), flag)
+    return low.withColumn("_starts", F.transform(zipped, start_len)).drop(*names)
 
 
 def tag_negation(df: DataFrame, id_col="doc_id", tokens_col="tokens", patterns=NEGATION_PATTERNS,
                  window=NEGATION_WINDOW, mode="corpus", suffix="_neg") -> DataFrame:
     """B9 window negation tagging; returns long tokens ``(doc_id, pos, term)``.
 
-    mode='window': tokens inside a span and outside the negator match get
+    A match of m negator words at p covers p..p+m and opens the span
+    p..p+m+window.  Span membership is a running maximum of span ends over
+    the document's positions (one window, partitioned by document).
+    mode='window': tokens inside a span and outside any match get
     ``suffix``.  mode='corpus': the set of such terms is collected over the
-    whole corpus, and every span token whose term is in that set is tagged.
+    whole corpus and every span token whose term is in the set is tagged.
     """
-    mmax = max(len(p) for p in _parse_patterns(patterns))
-    flagged = (df.select(id_col, tokens_col)
-               .withColumn("_starts", negation_starts(F.col(tokens_col), patterns))
-               .withColumn("_flags", negation_flags(F.col(tokens_col), F.col("_starts"), window, mmax)))
-    long = posexplode1(flagged, F.col("_flags"), [id_col], "pos", "f").select(
-        id_col, "pos", "f.term", "f.in_span", "f.is_match")
+    st = negation_starts(df.select(id_col, tokens_col), tokens_col, patterns)
+    has = F.exists("_starts", lambda m: m >= 0)
+    # one shuffle by document: the window below needs it, and both branches
+    # (documents with / without a match) read the same reused exchange, so
+    # tokenization and match search run once
+    st = st.withColumn("_has", has).repartition(id_col)
+    long = posexplode1(st, F.arrays_zip(F.col(tokens_col).alias("t"), F.col("_starts").alias("m")),
+                       [id_col, "_has"], "pos", "z").select(id_col, "_has", "pos", F.col("z.t").alias("term"),
+                                                           F.col("z.m").alias("m"))
+    plain = long.filter(~F.col("_has")).select(id_col, "pos", "term")
+    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    neg = (long.filter(F.col("_has"))
+           .withColumn("_span_end", F.max(F.when(F.col("m") >= 0, F.col("pos") + F.col("m") + window)).over(w))
+           .withColumn("_match_end", F.max(F.when(F.col("m") >= 0, F.col("pos") + F.col("m"))).over(w))
+           .withColumn("in_span", F.coalesce(F.col("_span_end") >= F.col("pos"), F.lit(False)))
+           .withColumn("is_match", F.coalesce(F.col("_match_end") >= F.col("pos"), F.lit(False))))
     if mode == "window":
-        return long.select(id_col, "pos", F.when(F.col("in_span") & ~F.col("is_match"),
-                                                 F.concat(F.col("term"), F.lit(suffix)))
-                           .otherwise(F.col("term")).alias("term"))
+        tagged = neg.select(id_col, "pos", F.when(F.col("in_span") & ~F.col("is_match"),
+                                                  F.concat(F.col("term"), F.lit(suffix)))
+                            .otherwise(F.col("term")).alias("term"))
+        return plain.unionByName(tagged)
     if mode != "corpus":
         raise ValueError("mode must be 'corpus' or 'window'")
-    span = long.filter("in_span")
+    span = neg.filter("in_span")
     tagset = span.filter(~F.col("is_match")).select(F.col("term").alias("_t")).distinct() \
                  .withColumn("_hit", F.lit(True))
     tagged = (span.join(tagset, F.col("term") == F.col("_t"), "left")
               .select(id_col, "pos", F.when(F.col("_hit"), F.concat(F.col("term"), F.lit(suffix)))
                       .otherwise(F.col("term")).alias("term")))
-    rest = long.filter(~F.col("in_span")).select(id_col, "pos", "term")
-    return rest.unionByName(tagged)
+    rest = neg.filter(~F.col("in_span")).select(id_col, "pos", "term")
+    return plain.unionByName(rest).unionByName(tagged)
