@@ -146,9 +146,10 @@ def q_keep_tokens(spark, sf_dir):
     return tk.keep_tokens(toks, vocab).select("doc_id", "label", "term", "pos")
 
 
-def _neg_sql(mode: str, w=NEGATION_WINDOW) -> str:
+def _neg_sql(mode: str, w=NEGATION_WINDOW, toks_sql=SQL_BASE_TOKS) -> str:
+    """Negation twin over a narrow token table ``toks_sql(doc_id, tokens)``."""
     pats = tk._parse_patterns(NEGATION_PATTERNS)
-    t = f"t AS ({S.explode(SQL_BASE_TOKS, 'tokens')})"
+    t = f"t AS ({S.explode(toks_sql, 'tokens')})"
     sels = []
     for words in pats:
         m = len(words)
