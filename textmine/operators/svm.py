@@ -155,19 +155,24 @@ def stacked_margins(data: DataFrame, specs: list, dim: int, cost=1.0, max_iter=1
            .withColumn("sval", F.concat("val", F.array(F.lit(1.0))))
     mkvec = F.udf(_sparse, VectorUDT())
     st = st.withColumn("features", mkvec(F.lit(size), F.col("sidx"), F.col("sval")))
+    # one reliable checkpoint of the stacked design: the fit's iterations
+    # read the training rows and the scoring reads the test rows, neither
+    # recomputes the vectors (survives executor loss)
+    st = cut_lineage(st.select("repeat", "fold", F.col("s.m").alias("m"), F.col("s.kind").alias("kind"),
+                               F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("s.pos").alias("pos"),
+                               "doc_id", "label", "role", "features"))
     train = st.filter(F.col("role") == "train").select(
-        "features", F.array_contains("s.pos", F.col("label")).cast("double").alias("y"))
-    train = cut_lineage(train)          # read by every iteration; survives executor loss
+        "features", F.array_contains("pos", F.col("label")).cast("double").alias("y"))
     n = train.count()
     svc = LinearSVC(featuresCol="features", labelCol="y", regParam=1.0 / (cost * max(n, 1)),
                     maxIter=max_iter, fitIntercept=False, standardization=False)
     model = svc.fit(train)
     test = st.filter(F.col("role") == "test").select(
-        F.col("repeat"), F.col("fold"), F.col("s.m").alias("m"), F.col("s.kind").alias("kind"),
-        F.col("s.a").alias("a"), F.col("s.b").alias("b"), "doc_id", F.col("label").alias("actual"), "features")
+        "repeat", "fold", "m", "kind", "a", "b", "doc_id", F.col("label").alias("actual"), "features")
     scored = model.transform(test)
-    return scored.select("repeat", "fold", "m", "kind", "a", "b", "doc_id", "actual",
-                         F.element_at(vector_to_array("rawPrediction"), 2).alias("margin"))
+    # margins are read by several branches of the vote and the metrics
+    return cut_lineage(scored.select("repeat", "fold", "m", "kind", "a", "b", "doc_id", "actual",
+                                     F.element_at(vector_to_array("rawPrediction"), 2).alias("margin")))
 
 
 def _pick(classes, idx_col):

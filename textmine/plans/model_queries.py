@@ -76,3 +76,71 @@ def q_svm_rbf_cv(spark, sf_dir):
 def q_svm_two_stage_cv(spark, sf_dir):
     """K9/K10 two-stage SVC (neutral 'o' vs rest, then polarity), cost 1."""
     return _cv_summary(svm_cv(spark, sf_dir, cost=1.0, neutral="o"))
+
+
+# ------------------------------------------- L5 / L6 marker feature sets
+SUBJECTIVITY = ["neutral", "subjective"]
+POLARITY = ["n", "p"]
+
+
+def marker_features(spark, sf_dir, dependency=True):
+    """D11 combination of the marker-context feature tables: citation
+    statistics (E8), lexicon presence (E4), closest subjective word (E2/E3),
+    closest verb / adjective / adverb (E1/E3) and, for L5, dependency
+    triples (E7)."""
+    from textmine.functions.lexicons import MARKERS_CIT
+    from textmine.operators import lexicon as lx
+    from textmine.operators import proximity as px
+    from textmine.plans import text_queries as tq
+
+    parts = [lx.citation_stats(td.marked_corpus(spark, sf_dir), MARKERS_CIT),
+             tq.jr_lexicon_df(spark, sf_dir),
+             lx.closest_dfm(tq.closest_subj_df(spark, sf_dir), ["closest"], word_tokens=True),
+             lx.closest_dfm(tq.closest_pos_df(spark, sf_dir), ["verb", "adj", "adv"])]
+    if dependency:
+        parts.append(ft.dfm(px.dependency_triples(tq.annotations(spark, sf_dir))))
+    return ft.combine(*parts)
+
+
+def binary_svm_summary(feats, docs, classes, task: str, k: int, ties: str, cost=1.0):
+    """Per-class top-k features of the task's classes (D8 / D9), then a
+    ten-fold linear SVM (one stacked fit): mean F1 scores."""
+    labelled = feats.join(docs, "doc_id")
+    vocab = ft.top_features(labelled, group_col="label", value_col="n", k=k, ties=ties)
+    w = ft.select_features(labelled, vocab).select("doc_id", "feature", F.col("n").cast("double").alias("weight"))
+    vec = sv.to_vectors(w, docs, vocab)
+    folds = fo.assign_folds(docs, k=10, seed=1)
+    pred = sv.svm_cross_validate(vec, folds, classes, cost=cost)
+    keys = ["repeat", "fold"]
+    fm = me.fold_metrics(me.class_metrics(me.confusion(pred, classes, keys), keys), keys)
+    return (me.cv_summary(fm, ["repeat"])
+            .select(F.lit(task).alias("task"), "repeat", *_r6("macro_f1", "micro_f1", "weighted_f1"), "n_folds"))
+
+
+def marker_svm(spark, sf_dir, boolean: bool, dependency: bool, k: int, ties: str):
+    feats = marker_features(spark, sf_dir, dependency)
+    if boolean:
+        feats = ft.weight_boolean(feats)
+    feats = feats.persist()
+    docs = td.labelled_corpus(spark, sf_dir).select("doc_id", "label")
+    subj = docs.select("doc_id", F.when(F.col("label") == "o", F.lit("neutral"))
+                       .otherwise(F.lit("subjective")).alias("label"))
+    polar = docs.filter(F.col("label") != "o")
+    return (binary_svm_summary(feats, subj, SUBJECTIVITY, "subjectivity", k, ties)
+            .unionByName(binary_svm_summary(feats, polar, POLARITY, "polarity", k, ties)))
+
+
+@query("svm_markers_cv")
+def q_svm_markers_cv(spark, sf_dir):
+    """L5 marker-context features (boolean, with dependency triples) ->
+    ten-fold linear SVMs c = 1 for subjectivity (neutral vs the rest) and
+    for polarity (n vs p on the non-neutral documents), each on its own
+    per-class top-1000 features (ties kept)."""
+    return marker_svm(spark, sf_dir, boolean=True, dependency=True, k=1000, ties="min")
+
+
+@query("svm_markers_counts_cv")
+def q_svm_markers_counts_cv(spark, sf_dir):
+    """L6 the same feature tables as counts, without the dependency side;
+    per-class first 10000 features with random ties."""
+    return marker_svm(spark, sf_dir, boolean=False, dependency=False, k=10000, ties="random")
