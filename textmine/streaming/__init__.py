@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The studied workload is batch-only (no streams, time semantics or state),
+so no Structured Streaming operator is provided.  Every operator of the
+library is a DataFrame -> DataFrame function and would run unchanged on a
+streaming DataFrame where Spark supports the underlying operator.
+"""
