@@ -142,6 +142,7 @@ def nb_inputs(spark, sf_dir):
 
 def nb_cv(spark, sf_dir, repeats=1, smoothings=(1.0,), k=10, seed=1):
     counts, docs = nb_inputs(spark, sf_dir)
+    counts = reuse(counts)              # read by about six branches of the one-plan CV
     folds = fo.assign_folds(docs, k=k, seed=seed, repeats=repeats)
     return nb.nb_cross_validate(counts, docs, folds, smoothings, classes=CLASSES)
 
