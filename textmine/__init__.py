@@ -8,9 +8,16 @@ Spark SQL expressions, joins, aggregates and windows.  Sub-packages:
 * ``operators``  – tokens, markers, document-feature tables, proximity,
                    folds, Naive Bayes, SVM, metrics
 * ``plans``      – feature-set compositions and the registered queries
-* ``streaming``  – notes on using the stateless operators on streams
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the task itself, so executors
+# need neither this package installed nor the driver's ``sys.path``.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 from textmine.session import get_spark, checkpoint_dir  # noqa: F401
 
 __version__ = "0.1.0"
