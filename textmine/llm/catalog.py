@@ -1,10 +1,12 @@
 """Queries of the training-data operators and their DuckDB twins."""
 
-from textmine.llm import quality_rules
+from textmine.llm import quality_rules, secret_scan
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_secret_scan": secret_scan.query,
 }
 ORACLE = {
     "op1_quality_rules": quality_rules.SQL,
+    "op2_secret_scan": secret_scan.SQL,
 }
