@@ -1,12 +1,16 @@
 """Queries of the training-data operators and their DuckDB twins."""
 
-from textmine.llm import quality_rules, secret_scan
+from textmine.llm import quality_rules, secret_scan, url_filter, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_secret_scan": secret_scan.query,
+    "op9_warc": warc.query,
+    "op10_url_filter": url_filter.query,
 }
 ORACLE = {
     "op1_quality_rules": quality_rules.SQL,
     "op2_secret_scan": secret_scan.SQL,
+    "op9_warc": warc.SQL,
+    "op10_url_filter": url_filter.SQL,
 }
