@@ -1,10 +1,11 @@
 """Queries of the training-data operators and their DuckDB twins."""
 
-from textmine.llm import quality_rules, secret_scan, substring_dedup, url_filter, warc
+from textmine.llm import ngram_join, quality_rules, secret_scan, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_secret_scan": secret_scan.query,
+    "op5_ngram_join": ngram_join.query,
     "op7_substring_dedup": substring_dedup.query,
     "op9_warc": warc.query,
     "op10_url_filter": url_filter.query,
@@ -12,6 +13,7 @@ QUERIES = {
 ORACLE = {
     "op1_quality_rules": quality_rules.SQL,
     "op2_secret_scan": secret_scan.SQL,
+    "op5_ngram_join": ngram_join.SQL,
     "op7_substring_dedup": substring_dedup.SQL,
     "op9_warc": warc.SQL,
     "op10_url_filter": url_filter.SQL,
