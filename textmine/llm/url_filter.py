@@ -33,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmine.llm.common import read_table
+from textmine.llm.common import read_table, staged
 
 
 @dataclass(frozen=True)
@@ -108,7 +108,7 @@ def _with_forms(d: DataFrame) -> DataFrame:
 
 def template_tree(counts: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
     """(host, s1.., t1.., purity, blocked) from ``counts`` (host, s1.., n, labelled, good)."""
-    tree = counts
+    tree = counts = staged(counts, "url-counts")
     for i in range(DEPTH):  # step 2
         above = ["host", *_LEVELS[:i]]
         literal = F.col(f"s{i + 1}").isNotNull() & ~F.col(f"s{i + 1}").startswith("{")
@@ -120,6 +120,7 @@ def template_tree(counts: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
         on = [tree[c].eqNullSafe(many[f"m_{c}"]) for c in above]
         tree = tree.join(many, on, "left").drop(*[f"m_{c}" for c in above])
         tree = tree.withColumn(_LEVELS[i], F.when(F.col("wild") & literal, F.lit("*")).otherwise(F.col(f"s{i + 1}"))).drop("wild")
+        tree = staged(tree, "url-tree")  # each level reads the last one several times
     total = counts.agg(F.sum("good").alias("g"), F.sum("labelled").alias("l"))
     total = total.select(((F.coalesce("g", F.lit(0)) + F.lit(1.0)) / (F.coalesce("l", F.lit(0)) + F.lit(2.0))).alias("prior"))
     w = F.lit(p.weight)
@@ -145,7 +146,7 @@ def template_tree(counts: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
         node = node.withColumn("apart", apart).withColumn("branch", F.sum("apart").over(order))
         whole = Window.partitionBy(*above, "branch")
         node = node.withColumn("purity", (F.sum("good").over(whole) + w * F.col("above")) / (F.sum("lab").over(whole) + w))
-        up = node.select(*keys, "prior", "purity")
+        up = staged(node.select(*keys, "prior", "purity"), "url-branches")
     ends = up.select(*keys, "purity")
     out = ends if out is None else out.unionByName(ends)
     out = out.select(*[F.col(c).alias(f"o_{c}") for c in keys], "purity")
