@@ -16,6 +16,12 @@ import pyarrow.compute as pc
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+# For comparisons beyond case and punctuation: words of letters, digits and
+# non-ASCII bytes, with A-Z as a-z.
+PUNCTUATION = np.array([not (chr(b).isalnum() or b >= 0x80) for b in range(256)])
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
 # Odd multipliers for the polynomial hash of a word's bytes; the second one
 # serves hashes of word windows and of shingles.
 BYTE_BASE = 0x9E3779B97F4A7C15
@@ -51,9 +57,9 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _word_bounds(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_bounds(data: np.ndarray, doc_starts: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte and end of every word of ``data``; documents do not join."""
-    inside = ~_WHITE[data]
+    inside = ~between[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     at = doc_starts[doc_starts < len(data)]
@@ -115,9 +121,12 @@ def text_slices(col: pa.Array, slice_bytes: int = 1 << 20):
         a = b
 
 
-def word_hashes(data: np.ndarray, row_offsets: np.ndarray):
-    """(hash per word, first word index per row + end, word starts, word stops)."""
-    start, stop = _word_bounds(data, row_offsets[:-1])
+def word_hashes(data: np.ndarray, row_offsets: np.ndarray, between: np.ndarray = _WHITE):
+    """(hash per word, first word index per row + end, word starts, word stops).
+
+    ``between`` marks the bytes that stand between words.
+    """
+    start, stop = _word_bounds(data, row_offsets[:-1], between)
     bounds = np.searchsorted(start, row_offsets)
     return _hash_spans(data, start, stop), bounds, start, stop
 
@@ -136,7 +145,7 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
                 if acc is None:
                     acc, acc_len = run, run_len
                 else:
-                    m = min(len(acc) - 0, len(run) - acc_len)
+                    m = min(len(acc), len(run) - acc_len)
                     acc = acc[:m] * np.uint64(pow(WINDOW_BASE, run_len, 1 << 64)) + run[acc_len:acc_len + m]
                     acc_len += run_len
             left >>= 1
