@@ -1,19 +1,22 @@
 """Queries of the training-data operators and their DuckDB twins."""
 
+import corpus_pipeline
 from textmine.llm import (
-    decontaminate, ngram_join, piece_codec, quality_classifier, quality_rules, secret_scan, substring_dedup,
+    chat_format, decontaminate, ngram_join, piece_codec, quality_classifier, quality_rules, secret_scan, substring_dedup,
     url_filter, warc)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_secret_scan": secret_scan.query,
     "op3_piece_codec": piece_codec.query,
+    "op4_chat_format": chat_format.query,
     "op5_ngram_join": ngram_join.query,
     "op6_decontaminate": decontaminate.query,
     "op7_substring_dedup": substring_dedup.query,
     "op8_quality_classifier": quality_classifier.query,
     "op9_warc": warc.query,
     "op10_url_filter": url_filter.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
     "op1_quality_rules": quality_rules.SQL,
