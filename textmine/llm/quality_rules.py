@@ -142,7 +142,10 @@ def keep_good(df: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text
     row = F.struct(*[F.col(c) for c in df.columns]).alias("row")
     d = df.select(row)
     judged = apply_rules(d.select("row", F.col(f"row.`{text}`").alias("text")), rules, "row", "text")
-    return judged.filter("kept").select("row.*")
+    # The row number keeps the filter above the projections: pushed below, it
+    # would evaluate the counts again for every rule that reads them.
+    judged = judged.select("row", "kept", F.monotonically_increasing_id().alias("at"))
+    return judged.filter(F.col("kept") & (F.col("at") >= 0)).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
