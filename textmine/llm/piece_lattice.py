@@ -19,6 +19,8 @@ from __future__ import annotations
 import re
 from array import array
 
+import ahocorasick
+
 SPACE = "▁"
 
 
@@ -45,7 +47,7 @@ def normalise(text: str) -> str:
 class Lattice:
     """Best paths in a vocabulary's lattice; ``kind`` is ``bpe`` or ``unigram``."""
 
-    MEMO = 400_000  # remembered segments and pairs, to bound a task's memory
+    MEMO = 250_000  # remembered segments, and pairs, to bound a task's memory
 
     def __init__(self, vocabulary: dict, kind: str = "bpe"):
         if kind not in ("bpe", "unigram"):
@@ -66,8 +68,16 @@ class Lattice:
         self.segments = re.compile(f"{SPACE}+[^{stop}]*|[{cut}]|[^{stop}]+" if cut else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
         self.pairs: dict = {}
         self.splits: dict = {}
-        self.following: dict = {}
+        self.agree: dict = {}
         self.id_bytes: dict = {}
+        self.size = vocabulary["size"]
+        self.names: list = [None] * self.size
+        automaton = ahocorasick.Automaton()
+        for piece, (i, _) in self.pieces.items():
+            self.names[i] = piece
+            automaton.add_word(piece, (len(piece), i))
+        automaton.make_automaton()
+        self.occurrences = automaton.iter if self.pieces else lambda text: ()
         self.prefixes = {p[:i] for p in self.pieces for i in range(1, len(p) + 1)}
         self.known = _Segments(self)
 
@@ -147,10 +157,12 @@ class Lattice:
         if ok is None:
             if len(self.pairs) > self.MEMO:
                 self.pairs.clear()
-            ok = self.split(v) is not None and (u is None or self.apart(u, v))
-            self.pairs[key] = ok
+            ok = self.pairs[key] = self.allowed(u, v)
         return 0.0 if ok else None
 
+    def allowed(self, u: str | None, v: str) -> bool:
+        return self.split(v) is not None and (u is None or self.apart(u, v))
+
     def is_piece(self, text: str) -> bool:
         return len(text) == 1 or text in self.pieces
 
@@ -219,58 +231,65 @@ class Lattice:
             return [self.unknown]
         return [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
 
-    def _after(self, u: str) -> dict:
-        """What may follow piece ``u`` ("": a cut): text -> 2 allowed, 1 not allowed, 0 no piece starts so."""
-        after = self.following.get(u)
-        if after is None:
-            if len(self.following) >= self.MEMO // 10:
-                self.following.clear()
-            after = self.following[u] = {}
-        return after
-
-    def _only_path(self, text: str) -> list[str]:
-        """The allowed path of a bpe lattice: each prefix of a text has one path, so one piece ends at each place."""
-        n = len(text)
-        last: list = [None] * (n + 1)
-        last[0] = ""
-        for place in range(n):
-            u = last[place]
-            if u is None:
+    def _name(self, code: int) -> str | None:
+        """Piece of a code: a vocabulary id, a character outside the vocabulary, or None for a cut."""
+        if code < self.size:
+            return self.names[code]
+        return None if code == self.size else chr(code - self.size - 1)
+
+    def _only_path(self, text: str) -> list[int]:
+        """Codes of the allowed path of a bpe lattice.
+
+        Each prefix of a text has one path, so one piece ends at each place:
+        the first allowed of the pieces that end there, which the automaton
+        lists, or else a character that no piece holds.
+        """
+        n, size = len(text), self.size
+        last = [-1] * (n + 1)
+        last[0] = size
+        agree = self.agree
+        done = 0
+        for end, (length, code) in self.occurrences(text):
+            while done < end:
+                done += 1
+                if last[done] < 0:
+                    last[done] = size + 1 + ord(text[done - 1])
+            if last[end + 1] >= 0:
                 continue
-            after = self._after(u)
-            for end in range(place + 1, n + 1):
-                v = text[place:end]
-                kind = after.get(v)
-                if kind is None:
-                    if self.is_piece(v):
-                        kind = 2 if self.step(u or None, v) is not None else 1
-                    else:
-                        kind = 1 if v in self.prefixes else 0
-                    after[v] = kind
-                if kind == 2:
-                    if last[end] is None:
-                        last[end] = v
-                elif kind == 0:
-                    break
+            key = last[end + 1 - length] << 24 | code
+            ok = agree.get(key)
+            if ok is None:
+                if len(agree) >= self.MEMO:
+                    agree.clear()
+                ok = agree[key] = self.allowed(self._name(key >> 24), self.names[code])
+            if ok:
+                last[end + 1] = code
+        while done < n:
+            done += 1
+            if last[done] < 0:
+                last[done] = size + 1 + ord(text[done - 1])
         out = []
         while n:
-            out.append(last[n])
-            n -= len(last[n])
+            code = last[n]
+            out.append(code)
+            n -= len(self.names[code]) if code < size else 1
         return out[::-1]
 
     def encode_segment(self, text: str) -> bytes:
         """Ids (native 32-bit integers) of a stretch between two cuts."""
-        if self.kind == "bpe":
-            pieces = self._only_path(text)
-        else:
-            ends = self.forward(text, [(None, 0)], len(text))
-            best = max((s for s in ends if s and s[1] == len(text)), key=lambda s: (ends[s][None][0], s), default=None)
-            pieces = [text[a:b] for a, b in self.path(best, None)] if best else []
         known = self.id_bytes
-        for piece in pieces:
-            if piece not in known:
-                known[piece] = array("i", self.ids(piece)).tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+        if self.kind == "bpe":
+            codes = self._only_path(text)
+            for code in codes:
+                if code not in known:
+                    known[code] = array("i", self.ids(self._name(code))).tobytes()
+            return b"".join(map(known.__getitem__, codes))
+        ends = self.forward(text, [(None, 0)], len(text))
+        best = max((s for s in ends if s and s[1] == len(text)), key=lambda s: (ends[s][None][0], s), default=None)
+        out = array("i")
+        for a, b in self.path(best, None) if best else ():
+            out.extend(self.ids(text[a:b]))
+        return out.tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as native 32-bit integers."""
