@@ -8,8 +8,8 @@ fitting rule wins.  URLs that no rule fits are judged by their template:
 2. Level by level, a node of the tree whose literal children are too many, or
    nearly all different, has them replaced by one wildcard ``*``.
 3. At each level the children of a node are ordered by their smoothed share of
-   good labels; neighbours whose shares do not differ significantly (a
-   two-proportion test) are merged into one branch.
+   good labels; labelled neighbours whose shares do not differ significantly
+   (a two-proportion test) are merged into one branch.
 4. A branch's purity is its share of good labels, smoothed towards the purity
    of the branch above, up to the host and the whole table; a template whose
    purity is below ``least_purity`` is blocked.
@@ -138,13 +138,14 @@ def template_tree(counts: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
         u = up.select(*[F.col(c).alias(f"u_{c}") for c in above], "prior", F.col("purity").alias("above"))
         node = node.join(u, [node[c].eqNullSafe(u[f"u_{c}"]) for c in above]).drop(*[f"u_{c}" for c in above])
         node = node.withColumn("m", F.col("lab") + w).withColumn("q", (F.col("good") + w * F.col("above")) / F.col("m"))
-        order = Window.partitionBy(*above).orderBy("q", _LEVELS[i])
+        node = node.withColumn("seen", F.col("lab") > 0)  # without labels: the purity above, no merging
+        order = Window.partitionBy(*above, "seen").orderBy("q", _LEVELS[i])
         node = node.withColumn("q0", F.lag("q").over(order)).withColumn("m0", F.lag("m").over(order))
         pooled = (F.col("q") * F.col("m") + F.col("q0") * F.col("m0")) / (F.col("m") + F.col("m0"))
         error = F.sqrt(pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / F.col("m") + F.lit(1.0) / F.col("m0")))
         apart = F.coalesce((F.col("q") - F.col("q0") > F.lit(p.z) * error).cast("int"), F.lit(0))
         node = node.withColumn("apart", apart).withColumn("branch", F.sum("apart").over(order))
-        whole = Window.partitionBy(*above, "branch")
+        whole = Window.partitionBy(*above, "seen", "branch")
         node = node.withColumn("purity", (F.sum("good").over(whole) + w * F.col("above")) / (F.sum("lab").over(whole) + w))
         up = staged(node.select(*keys, "prior", "purity"), "url-branches")
     ends = up.select(*keys, "purity")
@@ -233,14 +234,14 @@ up0 AS (SELECT host, prior, (sum(good) + {p.weight}::DOUBLE * prior) / (sum(labe
         w = f"{p.weight}::DOUBLE"
         part = ", ".join(above)
         parts.append(f"""g{i} AS (SELECT {", ".join(keys)}, sum(good) AS good, sum(labelled) AS lab FROM {top} GROUP BY ALL),
-n{i} AS (SELECT g.*, u.prior, u.purity AS above, lab + {w} AS m, (good + {w} * u.purity) / (lab + {w}) AS q
+n{i} AS (SELECT g.*, u.prior, u.purity AS above, lab + {w} AS m, (good + {w} * u.purity) / (lab + {w}) AS q, lab > 0 AS seen
   FROM g{i} g JOIN (SELECT * FROM up{i} {live}) u ON {on}),
-l{i} AS (SELECT *, lag(q) OVER o AS q0, lag(m) OVER o AS m0 FROM n{i} WINDOW o AS (PARTITION BY {part} ORDER BY q, {_LEVELS[i]} NULLS FIRST)),
+l{i} AS (SELECT *, lag(q) OVER o AS q0, lag(m) OVER o AS m0 FROM n{i} WINDOW o AS (PARTITION BY {part}, seen ORDER BY q, {_LEVELS[i]} NULLS FIRST)),
 z{i} AS (SELECT *, (q * m + q0 * m0) / (m + m0) AS pooled FROM l{i}),
 a{i} AS (SELECT *, coalesce((q - q0 > {p.z}::DOUBLE * sqrt(pooled * (1.0::DOUBLE - pooled) * (1.0::DOUBLE / m + 1.0::DOUBLE / m0)))::INT, 0) AS apart FROM z{i}),
-c{i} AS (SELECT *, sum(apart) OVER (PARTITION BY {part} ORDER BY q, {_LEVELS[i]} NULLS FIRST) AS branch FROM a{i}),
+c{i} AS (SELECT *, sum(apart) OVER (PARTITION BY {part}, seen ORDER BY q, {_LEVELS[i]} NULLS FIRST) AS branch FROM a{i}),
 up{i + 1} AS (SELECT {", ".join(keys)}, prior, (sum(good) OVER v + {w} * above) / (sum(lab) OVER v + {w}) AS purity
-  FROM c{i} WINDOW v AS (PARTITION BY {part}, branch))""")
+  FROM c{i} WINDOW v AS (PARTITION BY {part}, seen, branch))""")
     ends.append(f"SELECT {', '.join(keys)}, purity FROM up{DEPTH}")
     on = " AND ".join(f"t.{c} IS NOT DISTINCT FROM o.{c}" for c in keys)
     back = " AND ".join(f"f.{c} IS NOT DISTINCT FROM v.{c}" for c in ["host", *[f"s{i + 1}" for i in range(DEPTH)]])
