@@ -222,6 +222,9 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", windo
         "doc_id", "digest", "x.pos", "x.hash")
     firstdoc = wins.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("hi")).filter(
         "first < hi").select("hash", "first")
+    # Read from a table, both sides of the join are plain exchanges, which the
+    # engine can split where one hash (a very common passage) fills a partition.
+    firstdoc = staged(firstdoc, "substring-repeats")
     marks = wins.join(firstdoc, "hash").groupBy("doc_id", "digest").agg(
         F.sort_array(F.collect_set(F.struct("pos", "first"))).alias("marks"))
     marked = cand.select("doc_id", "digest", "words").join(marks, ["doc_id", "digest"])
