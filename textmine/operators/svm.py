@@ -1,21 +1,21 @@
-"""Support vector machines (D14, K6–K10) on Spark ML.
+"""Support vector machines (D14, K6–K10): exact kernel machines on a bounded sample.
 
-All models of a cross-validation (every repeat x fold x class pair x
-stage) are trained in ONE distributed ``LinearSVC`` fit on a block-diagonal
-design: model m owns feature block m (its own copy of the vocabulary plus
-a bias feature), and a document enters block m only when it is a training
-row of m.  With one cost c for all models and regParam = 1 / (c * N) (N =
-stacked training rows) the joint objective
+A cross-validation needs one binary machine for each (repeat, fold, class
+pair or stage).  They share one training sample: the ``MAX_TRAIN_ROWS``
+labelled documents that come first by a hash of their id (all of them, when
+there are fewer).  Its kernel matrix is computed once, in row blocks on the
+executors; every machine is then a task of its own that solves the dual
 
-    (1/N) sum_rows hinge + (lambda/2) ||w||^2  ==  (1/N) sum_m [H_m + ||w_m||^2 / (2c)]
+    min 1/2 a'Qa - sum(a),  0 <= a_i <= cost,  Q_ij = y_i y_j (k(x_i, x_j) + 1)
 
-separates exactly into the per-model C-SVM objectives, so each block's
-optimum is that model's optimum.  This replaces a driver loop of
-folds x pairs fits (each ~100 small iterative jobs) by one fit.
-The bias is a feature of value 1 (regularised like liblinear's bias).
+(hinge loss; the bias is a feature of value 1) by coordinate descent until no
+coordinate violates optimality by ``tol`` or more.  There is no iteration
+limit that returns an unfinished fit: a fit that stops making progress raises.
+Scoring is one pass over all documents: a batch's kernel against the sample,
+times the coefficients of all machines; nothing is replicated per machine.
 
-RBF kernel: approximated by random Fourier features (Rahimi & Recht,
-2007) — an approximation, not the exact SMO solution.
+Only the sample (bounded), its kernel matrix (bounded by the square of the
+sample) and the coefficients pass through the driver.
 """
 
 from __future__ import annotations
@@ -24,29 +24,26 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textmine.functions.text import array_lit
 from textmine.operators.features import vocabulary_index
 from textmine.operators.util import scalar
 from textmine.session import cut_lineage
 
-
-# ------------------------------------------------------------------ D14
-def _sparse(size, idx, val):
-    return SparseVector(int(size), [int(i) for i in idx or []], [float(v) for v in val or []])
+MAX_TRAIN_ROWS = 4000   # labelled rows a fit may use: the kernel matrix has its square
+ROW_BLOCK = 256         # rows of the kernel matrix that one task computes
+WIDTH = 2048            # columns made dense at a time
+TOL = 1e-3              # optimality violation at which a fit ends (the usual default of such solvers)
 
 
+# ------------------------------------------------------------------ D14
 def to_vectors(weights: DataFrame, docs: DataFrame, vocab: DataFrame | None = None,
                value_col="weight") -> DataFrame:
-    """``(doc_id, label, idx, val, size, features)``; documents without
-    a feature get an empty vector.  One group per document (bounded by the
-    selected vocabulary)."""
+    """``(doc_id, label, idx, val, size)``, sparse and sorted by index;
+    documents without a feature get an empty vector.  One group per document
+    (bounded by the selected vocabulary)."""
     vocab = vocab if vocab is not None else weights.select("feature").distinct()
     index = vocabulary_index(vocab)
     size = scalar(index.agg(F.max("size").alias("s")), "s") or 0
@@ -56,48 +53,72 @@ def to_vectors(weights: DataFrame, docs: DataFrame, vocab: DataFrame | None = No
     out = docs.select("doc_id", "label").join(per_doc, "doc_id", "left")
     idx = F.coalesce(F.transform("_e", lambda s: s["idx"]), F.array().cast("array<int>"))
     val = F.coalesce(F.transform("_e", lambda s: s["v"]), F.array().cast("array<double>"))
-    mk = F.udf(_sparse, VectorUDT())
-    return (out.select("doc_id", "label", idx.alias("idx"), val.alias("val"), F.lit(int(size)).alias("size"))
-            .withColumn("features", mk(F.col("size"), F.col("idx"), F.col("val"))))
-
-
-# ------------------------------------------------------------------ K6
-_RFF_CACHE: dict = {}
-
-
-def _rff_weights(seed: int, idx: int, d: int, gamma: float):
-    key = (seed, idx, d, gamma)
-    w = _RFF_CACHE.get(key)
-    if w is None:
-        w = np.random.default_rng([seed, 1, idx]).normal(0.0, np.sqrt(2.0 * gamma), d)
-        if len(_RFF_CACHE) > 200_000:
-            _RFF_CACHE.clear()
-        _RFF_CACHE[key] = w
-    return w
-
-
-def rff_features(vectors: DataFrame, gamma: float, n_components=256, seed=1) -> DataFrame:
-    """K6: replace (idx, val) by random Fourier features of the sparse
-    input: z = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi).
-    Column j of W is regenerated from (seed, feature index) inside the
-    task, so no projection matrix is shipped.  Arrow-batched."""
-    d = int(n_components)
-    b = np.random.default_rng([seed, 0]).uniform(0.0, 2.0 * np.pi, d)
-    scale = np.sqrt(2.0 / d)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(idx: pd.Series, val: pd.Series) -> pd.Series:
-        out = []
-        for ii, vv in zip(idx, val):
-            z = b.copy()
-            for i, v in zip(ii, vv):
-                z += v * _rff_weights(seed, int(i), d, gamma)
-            out.append(scale * np.cos(z))
-        return pd.Series(out)
-
-    return (vectors.withColumn("val", project("idx", "val"))
-            .withColumn("idx", F.sequence(F.lit(0), F.lit(d - 1)))
-            .withColumn("size", F.lit(d)))
+    return out.select("doc_id", "label", idx.alias("idx"), val.alias("val"), F.lit(int(size)).alias("size"))
+
+
+# ------------------------------------------------------------ sparse rows
+class Rows:
+    """Sparse rows as sorted (column, row, value) triples."""
+
+    def __init__(self, idx, val):
+        lengths = [len(i) for i in idx]
+        self.n = len(lengths)
+        row = np.repeat(np.arange(self.n), lengths)
+        col = np.concatenate([*map(np.asarray, idx), np.zeros(0)]).astype(np.int64)
+        value = np.concatenate([*map(np.asarray, val), np.zeros(0)]).astype(np.float64)
+        self.norms = np.bincount(row, weights=value**2, minlength=self.n)
+        order = np.argsort(col, kind="stable")
+        self.row, self.col, self.value = row[order], col[order], value[order]
+
+    def dense(self, start: int) -> np.ndarray:
+        lo, hi = np.searchsorted(self.col, [start, start + WIDTH])
+        out = np.zeros((self.n, WIDTH))
+        out[self.row[lo:hi], self.col[lo:hi] - start] = self.value[lo:hi]
+        return out
+
+
+def products(left: Rows, right: Rows, dim: int) -> np.ndarray:
+    """All inner products, over slices of the columns."""
+    out = np.zeros((left.n, right.n))
+    for start in range(0, dim, WIDTH):
+        out += left.dense(start) @ right.dense(start).T
+    return out
+
+
+def kernel_values(inner: np.ndarray, left: np.ndarray, right: np.ndarray, kernel: str, gamma: float) -> np.ndarray:
+    """K6 ``rbf`` exp(-gamma |x - y|^2) or K7 ``linear``, plus 1 for the bias."""
+    if kernel == "linear":
+        return inner + 1.0
+    return np.exp(-gamma * np.maximum(left[:, None] + right[None, :] - 2.0 * inner, 0.0)) + 1.0
+
+
+# ------------------------------------------------------------------ K6/K7
+def solve_dual(k: np.ndarray, y: np.ndarray, cost: float, tol: float = TOL):
+    """Coefficients, objective and largest violation of one C-SVM with kernel matrix ``k``.
+
+    Each step moves the coordinate that violates optimality most to its
+    optimum.  Raises when the objective no longer falls but the violation is
+    still ``tol`` or more.
+    """
+    n = len(y)
+    alpha, grad = np.zeros(n), -np.ones(n)
+    q = k * y[:, None] * y[None, :]
+    diagonal = np.maximum(np.diag(q).copy(), 1e-12)
+    objective, checked = 0.0, np.inf
+    for step in itertools.count():
+        violation = np.where(alpha <= 0, np.minimum(grad, 0), np.where(alpha >= cost, np.maximum(grad, 0), grad))
+        i = int(np.argmax(violation**2 / diagonal)) if n else 0
+        worst = float(np.abs(violation).max(initial=0.0))
+        if worst < tol:
+            return alpha, objective, worst
+        move = min(max(alpha[i] - grad[i] / diagonal[i], 0.0), cost) - alpha[i]
+        objective += move * grad[i] + 0.5 * diagonal[i] * move * move
+        alpha[i] += move
+        grad += move * q[i]
+        if step % (100 * n + 100) == 0:
+            if not objective < checked:
+                raise RuntimeError(f"fit stopped at violation {worst:g}, tolerance {tol:g}")
+            checked = objective
 
 
 # ------------------------------------------------------------ model specs
@@ -130,49 +151,103 @@ def model_specs(classes: list, folds: list[tuple[int, int]], scheme="ovo", neutr
     return specs
 
 
-def _spec_col(specs):
-    return F.array(*[F.struct(F.lit(s["model_id"]).alias("m"), F.lit(s["repeat"]).alias("r"),
-                              F.lit(s["fold"]).alias("f"), F.lit(s["kind"]).alias("kind"),
-                              array_lit(s["pos"]).alias("pos"), array_lit(s["members"]).alias("members"),
-                              F.lit(s["a"]).alias("a"), F.lit(s["b"]).alias("b")) for s in specs])
-
-
-def stacked_margins(data: DataFrame, specs: list, dim: int, cost=1.0, max_iter=100) -> DataFrame:
-    """Fit every spec's binary model in one LinearSVC and return the test
-    margins ``(repeat, fold, m, kind, a, b, doc_id, actual, margin)``.
-
-    ``data``: (doc_id, label, idx, val, repeat, fold)."""
-    n_models = len(specs)
-    size = n_models * (dim + 1)
-    st = (data.select("doc_id", "label", "idx", "val", "repeat", "fold", F.explode(_spec_col(specs)).alias("s"))
-          .filter(F.col("s.r") == F.col("repeat")))
-    role = (F.when(F.col("fold") == F.col("s.f"), F.lit("test"))
-            .when(F.array_contains("s.members", F.col("label")), F.lit("train")))
-    st = st.withColumn("role", role).filter(F.col("role").isNotNull())
-    block = dim + 1
-    off = F.col("s.m") * F.lit(block)
-    st = st.withColumn("sidx", F.concat(F.transform("idx", lambda i: i + off), F.array(off + F.lit(dim)))) \
-           .withColumn("sval", F.concat("val", F.array(F.lit(1.0))))
-    mkvec = F.udf(_sparse, VectorUDT())
-    st = st.withColumn("features", mkvec(F.lit(size), F.col("sidx"), F.col("sval")))
-    # one reliable checkpoint of the stacked design: the fit's iterations
-    # read the training rows and the scoring reads the test rows, neither
-    # recomputes the vectors (survives executor loss)
-    st = cut_lineage(st.select("repeat", "fold", F.col("s.m").alias("m"), F.col("s.kind").alias("kind"),
-                               F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("s.pos").alias("pos"),
-                               "doc_id", "label", "role", "features"))
-    train = st.filter(F.col("role") == "train").select(
-        "features", F.array_contains("pos", F.col("label")).cast("double").alias("y"))
-    n = train.count()
-    svc = LinearSVC(featuresCol="features", labelCol="y", regParam=1.0 / (cost * max(n, 1)),
-                    maxIter=max_iter, fitIntercept=False, standardization=False)
-    model = svc.fit(train)
-    test = st.filter(F.col("role") == "test").select(
-        "repeat", "fold", "m", "kind", "a", "b", "doc_id", F.col("label").alias("actual"), "features")
-    scored = model.transform(test)
-    # margins are read by several branches of the vote and the metrics
-    return cut_lineage(scored.select("repeat", "fold", "m", "kind", "a", "b", "doc_id", "actual",
-                                     F.element_at(vector_to_array("rawPrediction"), 2).alias("margin")))
+def training_sample(vectors: DataFrame, folds: DataFrame, max_rows: int = MAX_TRAIN_ROWS):
+    """The bounded sample: (rows, labels, {repeat: fold of each row}) of the
+    ``max_rows`` labelled documents that come first by md5 of their id."""
+    keys = vectors.select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
+    picked = vectors.join(F.broadcast(keys), "doc_id", "left_semi").select("doc_id", "label", "idx", "val").toPandas()
+    picked = picked.sort_values("doc_id").reset_index(drop=True)
+    fold = folds.join(F.broadcast(keys), "doc_id", "left_semi").toPandas()
+    place = pd.Series(np.arange(len(picked)), index=picked["doc_id"])
+    by_repeat = {}
+    for repeat, part in fold.groupby("repeat"):
+        at = np.full(len(picked), -1)
+        at[place[part["doc_id"]].to_numpy()] = part["fold"].to_numpy()
+        by_repeat[int(repeat)] = at
+    return Rows(picked["idx"], picked["val"]), picked["label"].to_numpy(), by_repeat
+
+
+def sample_kernel(spark, rows, dim: int, kernel: str, gamma: float) -> np.ndarray:
+    """Kernel matrix of the sample, in row blocks computed by the executors."""
+    n = rows.value.n
+    starts = range(0, n, ROW_BLOCK)
+
+    def run(frames):
+        own = rows.value
+        for frame in frames:
+            for start in frame["id"] * ROW_BLOCK:
+                inside = (own.row >= start) & (own.row < start + ROW_BLOCK)
+                block = Rows([], [])
+                block.n = min(ROW_BLOCK, own.n - start)
+                block.row, block.col, block.value = own.row[inside] - start, own.col[inside], own.value[inside]
+                inner = products(block, own, dim)
+                made = kernel_values(inner, own.norms[start:start + block.n], own.norms, kernel, gamma)
+                yield pd.DataFrame({"start": [start], "k": [made.tobytes()]})
+
+    out = np.zeros((n, n))
+    blocks = spark.range(len(starts)).repartition(max(1, len(starts)), "id").mapInPandas(run, "start long, k binary")
+    for row in blocks.collect():
+        block = np.frombuffer(row.k).reshape(-1, n)
+        out[row.start:row.start + len(block)] = block
+    return out
+
+
+def fit_models(spark, sample, specs: list, dim: int, cost: float, kernel: str, gamma: float, tol: float = TOL):
+    """Signed coefficients (sample rows x machines) and a report (m, objective, violation) of every machine."""
+    rows, labels, by_repeat = sample
+    sent_rows = spark.sparkContext.broadcast(rows)
+    k = spark.sparkContext.broadcast((sample_kernel(spark, sent_rows, dim, kernel, gamma), labels, by_repeat))
+
+    def run(frames):
+        matrix, lab, folds = k.value
+        for frame in frames:
+            for m in frame["id"]:
+                s = specs[m]
+                use = np.flatnonzero((folds[s["repeat"]] != s["fold"]) & (folds[s["repeat"]] >= 0) & np.isin(lab, s["members"]))
+                y = np.where(np.isin(lab[use], s["pos"]), 1.0, -1.0)
+                alpha, objective, worst = solve_dual(matrix[np.ix_(use, use)], y, cost, tol)
+                held = alpha > 0
+                yield pd.DataFrame({"m": [m], "row": [use[held].tolist()], "coef": [(alpha * y)[held].tolist()],
+                                    "objective": [objective], "violation": [worst]})
+
+    n = len(specs)
+    fits = spark.range(n).repartition(max(1, n), "id").mapInPandas(
+        run, "m long, row array<long>, coef array<double>, objective double, violation double")
+    coef = np.zeros((rows.n, n))
+    report = []
+    for r in fits.collect():
+        coef[r.row, r.m] = r.coef
+        report.append((r.m, r.objective, r.violation))
+    k.unpersist()
+    return coef, sorted(report)
+
+
+def score_margins(vectors: DataFrame, folds: DataFrame, sample, coef: np.ndarray, specs: list, dim: int,
+                  kernel: str, gamma: float) -> DataFrame:
+    """Test margins ``(repeat, fold, m, kind, a, b, doc_id, actual, margin)`` of all documents."""
+    spark = vectors.sparkSession
+    own = folds.groupBy("doc_id").agg(F.collect_list(F.struct("repeat", "fold")).alias("folds"))
+    data = vectors.select("doc_id", "label", "idx", "val").join(own, "doc_id")
+    sent = spark.sparkContext.broadcast((sample[0], coef))
+    models: dict = {}
+    for s in specs:
+        models.setdefault((s["repeat"], s["fold"]), []).append(s)
+
+    def run(frames):
+        rows, weights = sent.value
+        for frame in frames:
+            for at in range(0, len(frame), ROW_BLOCK):
+                part = frame.iloc[at:at + ROW_BLOCK]
+                batch = Rows(part["idx"], part["val"])
+                margin = kernel_values(products(batch, rows, dim), batch.norms, rows.norms, kernel, gamma) @ weights
+                out = [(f["repeat"], f["fold"], s["model_id"], s["kind"], s["a"], s["b"], doc, label, margin[i, s["model_id"]])
+                       for i, (doc, label, fs) in enumerate(zip(part["doc_id"], part["label"], part["folds"], strict=True))
+                       for f in fs for s in models[f["repeat"], f["fold"]]]
+                yield pd.DataFrame(out, columns=["repeat", "fold", "m", "kind", "a", "b", "doc_id", "actual", "margin"])
+
+    types = dict(vectors.dtypes)
+    return data.mapInPandas(run, f"repeat int, fold int, m int, kind string, a int, b int, doc_id {types['doc_id']}, "
+                                 f"actual {types['label']}, margin double")
 
 
 def _pick(classes, idx_col):
@@ -200,33 +275,36 @@ def combine_votes(margins: DataFrame, classes: list, scheme="ovo", neutral=None)
 
 
 # ------------------------------------------------------------------ K10
-def svm_cross_validate(vectors: DataFrame, folds: DataFrame, classes: list, cost=1.0, kernel="linear",
-                       scheme="ovo", neutral=None, gamma=None, n_components=256, seed=1,
-                       max_iter=100) -> DataFrame:
-    """K7/K9/K10 (linear) and K6 (rbf): k-fold cross-validated predictions
-    ``(repeat, fold, doc_id, actual, predicted)`` from one stacked fit."""
-    dim = scalar(vectors.agg(F.max("size").alias("s")), "s") or 0
-    if kernel == "rbf":
-        gamma = gamma if gamma is not None else 1.0 / max(1, dim)   # 1 / number of features
-        vectors = rff_features(vectors, gamma, n_components, seed)
-        dim = int(n_components)
-    elif kernel != "linear":
+def svm_margins(vectors: DataFrame, folds: DataFrame, classes: list, cost=1.0, kernel="linear", scheme="ovo",
+                neutral=None, gamma=None, max_rows: int = MAX_TRAIN_ROWS, tol: float = TOL) -> DataFrame:
+    """K6/K7/K9: margins of every test document under every machine of its folds."""
+    if kernel not in ("linear", "rbf"):
         raise ValueError("kernel must be 'linear' or 'rbf'")
+    vectors = cut_lineage(vectors)  # one vector per document: read by the sample and by the scoring
+    dim = scalar(vectors.agg(F.max("size").alias("s")), "s") or 0
+    gamma = gamma if gamma is not None else 1.0 / max(1, dim)   # 1 / number of features
     keys = [tuple(r) for r in folds.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()]
     specs = model_specs(classes, keys, scheme, neutral)
-    data = vectors.select("doc_id", "label", "idx", "val").join(folds, "doc_id")
-    margins = stacked_margins(data, specs, dim, cost, max_iter)
+    sample = training_sample(vectors, folds, max_rows)
+    coef, _ = fit_models(vectors.sparkSession, sample, specs, dim, cost, kernel, gamma, tol)
+    return score_margins(vectors, folds, sample, coef, specs, dim, kernel, gamma)
+
+
+def svm_cross_validate(vectors: DataFrame, folds: DataFrame, classes: list, cost=1.0, kernel="linear",
+                       scheme="ovo", neutral=None, gamma=None, max_rows: int = MAX_TRAIN_ROWS,
+                       tol: float = TOL) -> DataFrame:
+    """K7/K9/K10 (linear) and K6 (rbf): k-fold cross-validated predictions
+    ``(repeat, fold, doc_id, actual, predicted)``."""
+    margins = svm_margins(vectors, folds, classes, cost, kernel, scheme, neutral, gamma, max_rows, tol)
     return combine_votes(margins, classes, scheme, neutral).select("repeat", "fold", "doc_id", "actual", "predicted")
 
 
-def svm_fit_predict(train_vectors: DataFrame, test_vectors: DataFrame, classes: list, cost=1.0,
-                    scheme="ovo", neutral=None, max_iter=100) -> DataFrame:
+def svm_fit_predict(train_vectors: DataFrame, test_vectors: DataFrame, classes: list, cost=1.0, kernel="linear",
+                    scheme="ovo", neutral=None, gamma=None) -> DataFrame:
     """K7/K8 single train/test split: ``(doc_id, actual, predicted)``."""
-    tr = train_vectors.select("doc_id", "label", "idx", "val", "size").withColumn("fold", F.lit(2))
-    te = test_vectors.select("doc_id", "label", "idx", "val", "size").withColumn("fold", F.lit(1))
-    both = tr.unionByName(te).withColumn("repeat", F.lit(1))
-    folds = both.select("doc_id", "repeat", "fold")
-    pred = svm_cross_validate(both.select("doc_id", "label", "idx", "val", "size"), folds.filter(F.col("fold") == 1)
-                              .unionByName(folds.filter(F.col("fold") == 2)), classes, cost, "linear", scheme,
-                              neutral, max_iter=max_iter)
+    tr = train_vectors.select("doc_id", "label", "idx", "val", "size")
+    te = test_vectors.select("doc_id", "label", "idx", "val", "size")
+    folds = te.select("doc_id", F.lit(1).alias("repeat"), F.lit(1).alias("fold")).unionByName(
+        tr.select("doc_id", F.lit(1).alias("repeat"), F.lit(2).alias("fold")))
+    pred = svm_cross_validate(tr.unionByName(te), folds, classes, cost, kernel, scheme, neutral, gamma)
     return pred.filter(F.col("fold") == 1).select("doc_id", "actual", "predicted")

@@ -27,8 +27,8 @@ from textmine.sources import testdata as td
 PREPS = td.TEST_PREPOSITIONS
 TARGET_RX_TAG = "(?i)(CIT|GCIT)(SYN)*_"
 TARGET_RX_WORD = "(?i)(CIT|GCIT)(SYN)*"
-JHA_FLAGS = dict(remove_numbers=True, remove_punct=True, remove_url=True)
-JHA_SQL_FLAGS = dict(numbers=True, punct=True, url=True)
+MIN3_FLAGS = dict(remove_numbers=True, remove_punct=True, remove_url=True)
+MIN3_SQL_FLAGS = dict(numbers=True, punct=True, url=True)
 
 
 # ------------------------------------------------------------ shared data
@@ -51,28 +51,28 @@ def clean_corpus(spark, sf_dir, labelled=False) -> DataFrame:
 SQL_CLEAN = f"SELECT doc_id, {S.clean_text('text', PREPS)} AS text FROM ({S.MARKED})"
 
 
-def jha_tokens(spark, sf_dir) -> DataFrame:
+def long_word_tokens(spark, sf_dir) -> DataFrame:
     """Word tokens of the clean text without numbers, punctuation, URLs,
     at least three characters (narrow form)."""
     c = clean_corpus(spark, sf_dir)
-    return c.select("doc_id", tk.min_chars(tk.word_tokens(F.col("text"), **JHA_FLAGS), 3).alias("tokens"))
+    return c.select("doc_id", tk.min_chars(tk.word_tokens(F.col("text"), **MIN3_FLAGS), 3).alias("tokens"))
 
 
-SQL_JHA_TOKS = (f"SELECT doc_id, list_filter({S.word_tokens('text', **JHA_SQL_FLAGS)}, lambda x: length(x) >= 3) AS tokens "
+SQL_MIN3_TOKS = (f"SELECT doc_id, list_filter({S.word_tokens('text', **MIN3_SQL_FLAGS)}, lambda x: length(x) >= 3) AS tokens "
                 f"FROM ({SQL_CLEAN})")
-SQL_JHA_LONG = S.explode(SQL_JHA_TOKS, "tokens")
+SQL_MIN3_LONG = S.explode(SQL_MIN3_TOKS, "tokens")
 
 
 def annotations(spark, sf_dir) -> DataFrame:
     """Stand-in annotation table of the detokenised clean text."""
-    long = tk.explode_tokens(jha_tokens(spark, sf_dir))
+    long = tk.explode_tokens(long_word_tokens(spark, sf_dir))
     return src.lexicon_annotate(long, td.pos_lexicon(spark))
 
 
 SQL_LEX = S.values(td.TEST_POS_LEXICON, ["word", "lemma", "upos"])
 SQL_ANNOT = (f"SELECT t.doc_id, 1 AS sid, t.pos AS tid, t.term AS word, coalesce(l.lemma, t.term) AS lemma, "
              f"coalesce(l.upos, 'X') AS upos, CASE WHEN t.pos = 1 THEN 'root' ELSE 'dep' END AS relation, "
-             f"t.pos - 1 AS tid_target FROM ({SQL_JHA_LONG}) t LEFT JOIN {SQL_LEX} l ON lower(t.term) = l.word")
+             f"t.pos - 1 AS tid_target FROM ({SQL_MIN3_LONG}) t LEFT JOIN {SQL_LEX} l ON lower(t.term) = l.word")
 
 
 def sql_counts(long_sql: str, keep="doc_id") -> str:
@@ -88,16 +88,16 @@ def q_ngrams_1_3(spark, sf_dir):
     return tk.ngrams_long(base_tokens(spark, sf_dir), ns=(1, 2, 3)).select("doc_id", "n", "pos", "term")
 
 
-@query("min_chars", SQL_JHA_LONG)
+@query("min_chars", SQL_MIN3_LONG)
 def q_min_chars(spark, sf_dir):
     """B1 + B7 tokens of at least three characters (clean text)."""
-    return tk.explode_tokens(jha_tokens(spark, sf_dir))
+    return tk.explode_tokens(long_word_tokens(spark, sf_dir))
 
 
-@query("uppercase_tokens", f"SELECT * FROM ({SQL_JHA_LONG}) WHERE regexp_matches(term, '[A-Z]')")
+@query("uppercase_tokens", f"SELECT * FROM ({SQL_MIN3_LONG}) WHERE regexp_matches(term, '[A-Z]')")
 def q_uppercase_tokens(spark, sf_dir):
     """B6 keep tokens containing an upper-case letter (case-sensitive regex)."""
-    return tk.filter_tokens(tk.explode_tokens(jha_tokens(spark, sf_dir)), "[A-Z]", keep=True, case_insensitive=False)
+    return tk.filter_tokens(tk.explode_tokens(long_word_tokens(spark, sf_dir)), "[A-Z]", keep=True, case_insensitive=False)
 
 
 @query("remove_tokens_regex", f"SELECT * FROM ({S.explode(SQL_BASE_TOKS, 'tokens')}) "
@@ -107,10 +107,10 @@ def q_remove_tokens_regex(spark, sf_dir):
     return tk.filter_tokens(tk.explode_tokens(base_tokens(spark, sf_dir)), ".*[0-9].*|.*th.*", keep=False)
 
 
-@query("detokenize", f"SELECT doc_id, array_to_string(tokens, ' ') AS text FROM ({SQL_JHA_TOKS})")
+@query("detokenize", f"SELECT doc_id, array_to_string(tokens, ' ') AS text FROM ({SQL_MIN3_TOKS})")
 def q_detokenize(spark, sf_dir):
     """B8 tokens joined back into one text per document."""
-    return jha_tokens(spark, sf_dir).select("doc_id", tk.detokenize(F.col("tokens")).alias("text"))
+    return long_word_tokens(spark, sf_dir).select("doc_id", tk.detokenize(F.col("tokens")).alias("text"))
 
 
 @query("types", f"SELECT DISTINCT term FROM ({S.explode(SQL_BASE_TOKS, 'tokens')})")
@@ -271,16 +271,16 @@ def sql_lookup(counts_sql: str, dictionary: dict, boolean=False) -> str:
             f"ON regexp_matches(lower(c.feature), d.rx)) SELECT doc_id, key AS feature, {val} AS n FROM m GROUP BY doc_id, key")
 
 
-JX_DICT = lexicon_dictionary(SEM_NEGATION)
-JR_DICT = lexicon_dictionary(SEM_NEGATION_WITH_NT)
+LEXICON_PLAIN = lexicon_dictionary(SEM_NEGATION)
+LEXICON_NT = lexicon_dictionary(SEM_NEGATION_WITH_NT)
 
 
 @query("dfm_lookup", sql_lookup(f"SELECT doc_id, lower(term) AS feature, count(*) AS n FROM "
-                                f"({S.explode(SQL_CLEAN, S.word_tokens())}) GROUP BY ALL", JX_DICT))
+                                f"({S.explode(SQL_CLEAN, S.word_tokens())}) GROUP BY ALL", LEXICON_PLAIN))
 def q_dfm_lookup(spark, sf_dir):
     """D4 dictionary lookup (pronoun and negation keys), counts."""
     toks = tk.explode_tokens(tk.tokenize_words(clean_corpus(spark, sf_dir)))
-    return lx.lexicon_features(toks, JX_DICT, boolean=False)
+    return lx.lexicon_features(toks, LEXICON_PLAIN, boolean=False)
 
 
 @query("dfm_group", f"SELECT label, feature, CAST(sum(n) AS BIGINT) AS n FROM ({SQL_UNI_COUNTS_LAB}) GROUP BY ALL")
@@ -427,30 +427,30 @@ def q_closest_subjective(spark, sf_dir):
 
 SQL_SUBJ_DFM = (SQL_CLOSEST_SUBJ + f", sd AS (SELECT doc_id, lower(term) AS feature, count(*) AS n FROM "
                 f"({S.explode('SELECT doc_id, closest AS text FROM cs', S.word_tokens())}) GROUP BY ALL)")
-SQL_JR_LEX = sql_lookup(f"SELECT doc_id, lower(term) AS feature, count(*) AS n FROM "
-                        f"({S.explode(SQL_CLEAN, S.word_tokens())}) GROUP BY ALL", JR_DICT, boolean=True)
+SQL_LEXICON = sql_lookup(f"SELECT doc_id, lower(term) AS feature, count(*) AS n FROM "
+                        f"({S.explode(SQL_CLEAN, S.word_tokens())}) GROUP BY ALL", LEXICON_NT, boolean=True)
 
 
-def jr_lexicon_df(spark, sf_dir):
+def lexicon_presence(spark, sf_dir):
     toks = tk.explode_tokens(tk.tokenize_words(clean_corpus(spark, sf_dir)))
-    return lx.lexicon_features(toks, JR_DICT, boolean=True)
+    return lx.lexicon_features(toks, LEXICON_NT, boolean=True)
 
 
-@query("lexicon_features", SQL_JR_LEX)
+@query("lexicon_features", SQL_LEXICON)
 def q_lexicon_features(spark, sf_dir):
     """E4 pronoun / negation presence per document."""
-    return jr_lexicon_df(spark, sf_dir)
+    return lexicon_presence(spark, sf_dir)
 
 
-SQL_JHA_COUNTS = f"SELECT doc_id, lower(term) AS feature, count(*) AS n FROM ({SQL_JHA_LONG}) GROUP BY ALL"
-SQL_JHA_PAIRS = (f"SELECT a.doc_id, lower(a.term || ' ' || b.term) AS feature, count(*) AS n FROM ({SQL_JHA_LONG}) a "
-                 f"JOIN ({SQL_JHA_LONG}) b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 GROUP BY ALL")
+SQL_MIN3_COUNTS = f"SELECT doc_id, lower(term) AS feature, count(*) AS n FROM ({SQL_MIN3_LONG}) GROUP BY ALL"
+SQL_MIN3_PAIRS = (f"SELECT a.doc_id, lower(a.term || ' ' || b.term) AS feature, count(*) AS n FROM ({SQL_MIN3_LONG}) a "
+                 f"JOIN ({SQL_MIN3_LONG}) b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 GROUP BY ALL")
 
 
-@query("section_features", sql_lookup(f"{SQL_JHA_COUNTS} UNION ALL {SQL_JHA_PAIRS}", SECTIONS))
+@query("section_features", sql_lookup(f"{SQL_MIN3_COUNTS} UNION ALL {SQL_MIN3_PAIRS}", SECTIONS))
 def q_section_features(spark, sf_dir):
     """E5 section keys on single tokens and adjacent pairs."""
-    return lx.section_features(tk.explode_tokens(jha_tokens(spark, sf_dir)), SECTIONS, phrases=True)
+    return lx.section_features(tk.explode_tokens(long_word_tokens(spark, sf_dir)), SECTIONS, phrases=True)
 
 
 @query("dependency_features", f"""WITH a AS ({SQL_ANNOT}), tr AS (SELECT d.doc_id, d.relation || '_' || d.lemma || '_' || h.lemma AS term
@@ -462,14 +462,14 @@ def q_dependency_features(spark, sf_dir):
 
 
 @query("combine_features", f"""WITH {SQL_CLOSEST_SUBJ.strip()[5:]}, {SQL_SUBJ_DFM.split(', sd AS', 1)[1].join(['sd AS', ''])},
-       lexf AS ({SQL_JR_LEX}), cst AS ({SQL_CITSTATS})
+       lexf AS ({SQL_LEXICON}), cst AS ({SQL_CITSTATS})
        SELECT doc_id, feature, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM sd UNION ALL SELECT * FROM lexf UNION ALL SELECT * FROM cst)
        GROUP BY ALL""")
 def q_combine_features(spark, sf_dir):
     """D11 citation statistics + lexicon + closest subjective word combined."""
     subj = lx.closest_dfm(closest_subj_df(spark, sf_dir), ["closest"], word_tokens=True)
     stats = lx.citation_stats(td.marked_corpus(spark, sf_dir), MARKERS_CIT)
-    return ft.combine(stats, jr_lexicon_df(spark, sf_dir), subj)
+    return ft.combine(stats, lexicon_presence(spark, sf_dir), subj)
 
 
 # ================================================= predicates, joins (P, J)
