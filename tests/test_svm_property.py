@@ -75,7 +75,7 @@ def test_equals_separate_fits(spark):
                           fitIntercept=False, standardization=False).fit(tdf)
             x = np.array([vec_of(r).toArray() for r in train])
             y = np.array([1.0 if r[1] == CLASSES[a] else -1.0 for r in train])
-            alpha, _, _ = sv.solve_dual(x @ x.T, y, 1.0, 1e-8)
+            alpha, _, _ = sv.solve_dual(x @ x.T, y, 1.0, 1e-6)
             w = x.T @ (alpha * y)
 
             def primal(w, x=x, y=y):

@@ -36,10 +36,12 @@ def nearest(long: DataFrame, cand_key: Column, is_target: Column, by=("doc_id",)
 
 
 def tagged_tokens(annot: DataFrame) -> DataFrame:
-    """E6 long form: ``(doc_id, pos, term = lemma_UPOS)`` in (sid, tid) order."""
+    """E6 long form: ``(doc_id, pos, term = lemma_UPOS)``; ``pos`` counts the
+    document's tokens in (sid, tid) order, so distances run across sentences."""
+    order = Window.partitionBy("doc_id").orderBy("sid", "tid")
     return annot.select("doc_id", F.col("sid"), F.col("tid"),
-                        F.concat_ws("_", "lemma", "upos").alias("term")) \
-        .withColumn("pos", F.col("sid").cast("long") * F.lit(1 << 20) + F.col("tid"))
+                        F.concat_ws("_", "lemma", "upos").alias("term"),
+                        F.row_number().over(order).alias("pos"))
 
 
 def tagged_text(annot: DataFrame) -> DataFrame:
@@ -83,5 +85,5 @@ def dependency_triples(annot: DataFrame) -> DataFrame:
     dep = annot.select("doc_id", "sid", "tid", "relation", "lemma", "tid_target")
     head = annot.select("doc_id", "sid", F.col("tid").alias("tid_target"), F.col("lemma").alias("lemma_target"))
     return (dep.join(head, ["doc_id", "sid", "tid_target"])
-            .select("doc_id", (F.col("sid").cast("long") * F.lit(1 << 20) + F.col("tid")).alias("pos"),
+            .select("doc_id", F.struct("sid", "tid").alias("pos"),
                     F.concat_ws("_", "relation", "lemma", "lemma_target").alias("term")))

@@ -111,12 +111,13 @@ def solve_dual(k: np.ndarray, y: np.ndarray, cost: float, tol: float = TOL):
         worst = float(np.abs(violation).max(initial=0.0))
         if worst < tol:
             return alpha, objective, worst
-        move = min(max(alpha[i] - grad[i] / diagonal[i], 0.0), cost) - alpha[i]
+        new = min(max(alpha[i] - grad[i] / diagonal[i], 0.0), cost)
+        move = new - alpha[i]
         objective += move * grad[i] + 0.5 * diagonal[i] * move * move
-        alpha[i] += move
+        alpha[i] = new  # exactly on a bound, when it is one
         grad += move * q[i]
         if step % (100 * n + 100) == 0:
-            if not objective < checked:
+            if checked - objective <= 1e-12 * max(1.0, abs(objective)):
                 raise RuntimeError(f"fit stopped at violation {worst:g}, tolerance {tol:g}")
             checked = objective
 
