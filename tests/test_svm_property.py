@@ -71,7 +71,7 @@ def test_equals_separate_fits(spark):
                 return SparseVector(DIM + 1, list(r[2]) + [DIM], list(r[3]) + [1.0])
 
             tdf = spark.createDataFrame([(vec_of(r), float(r[1] == CLASSES[a])) for r in train], ["features", "y"])
-            m = LinearSVC(featuresCol="features", labelCol="y", regParam=1.0 / len(train), maxIter=300, tol=1e-10,
+            m = LinearSVC(featuresCol="features", labelCol="y", regParam=1.0 / len(train), maxIter=25,
                           fitIntercept=False, standardization=False).fit(tdf)
             x = np.array([vec_of(r).toArray() for r in train])
             y = np.array([1.0 if r[1] == CLASSES[a] else -1.0 for r in train])
