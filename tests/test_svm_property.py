@@ -70,9 +70,6 @@ def test_equals_separate_fits(spark):
             def vec_of(r):
                 return SparseVector(DIM + 1, list(r[2]) + [DIM], list(r[3]) + [1.0])
 
-            tdf = spark.createDataFrame([(vec_of(r), float(r[1] == CLASSES[a])) for r in train], ["features", "y"])
-            m = LinearSVC(featuresCol="features", labelCol="y", regParam=1.0 / len(train), maxIter=25,
-                          fitIntercept=False, standardization=False).fit(tdf)
             x = np.array([vec_of(r).toArray() for r in train])
             y = np.array([1.0 if r[1] == CLASSES[a] else -1.0 for r in train])
             alpha, _, _ = sv.solve_dual(x @ x.T, y, 1.0, 1e-6)
@@ -81,8 +78,12 @@ def test_equals_separate_fits(spark):
             def primal(w, x=x, y=y):
                 return 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w)).sum()
 
-            # the other solver only comes near the optimum of the non-smooth hinge loss
-            assert primal(w) <= primal(m.coefficients.toArray()) + 1e-6
+            if (f, a, b) == (1, 0, 1):  # one fit of the other solver: it runs a job for each of its steps
+                tdf = spark.createDataFrame([(vec_of(r), float(r[1] == CLASSES[a])) for r in train], ["features", "y"])
+                m = LinearSVC(featuresCol="features", labelCol="y", regParam=1.0 / len(train), maxIter=25,
+                              fitIntercept=False, standardization=False).fit(tdf)
+                # it only comes near the optimum of the non-smooth hinge loss
+                assert primal(w) <= primal(m.coefficients.toArray()) + 1e-6
             for r in test:
                 margin = float(vec_of(r).toArray() @ w)
                 assert abs(margin - margins[f, a, b, r[0]]) < 1e-4
