@@ -341,6 +341,38 @@ def test_items_in_several_blocks(spark, monkeypatch):
     assert want <= {(r.doc_id, r.item_id) for r in decontaminate.search(docs, bench).collect()}
 
 
+def fitted_block(items, texts, scale=1):
+    """A block fitted on ``texts`` as if each stood ``scale`` times in the table, without Spark."""
+    block = decontaminate.Block(list(enumerate(items)))
+    size = decontaminate.PASSAGE
+    held = [np.unique(p[p >= 0]) for t in texts for p in [decontaminate._lookup(block.terms, decontaminate._words(t))]
+            for k in range(0, len(p), size) for p in [p[k:k + size]]]
+    frequency, sketch = np.zeros(len(block.terms)), np.zeros(block.test.shape)
+    for terms in held:
+        frequency[terms] += scale
+        sketch[terms] += scale * block.test[terms].sum(axis=0)
+    block.fit(frequency, sketch, scale * sum(-(-len(decontaminate._words(t)) // size) for t in texts))
+    return block
+
+
+def found_items(block, text):
+    return {m[0] for m in block.matches(decontaminate._lookup(block.terms, decontaminate._words(text)))}
+
+
+def own_words(rng, n):
+    return [rng.choice(["the", "of", "and"]) if rng.random() < 0.3 else f"u{rng.randint(0, 20_000)}" for _ in range(n)]
+
+
+def test_full_blocks_keep_every_item():
+    rng = random.Random(21)
+    for _ in range(3):
+        items = [" ".join(own_words(rng, 15 + i % 45)) for i in range(256)]
+        rest = [own_words(rng, 60) for _ in items]
+        texts = [" ".join([*words[:25], item, *words[25:]]) for words, item in zip(rest, items, strict=True)]
+        block = fitted_block(items, texts)
+        assert [i for i, t in enumerate(texts) if i not in found_items(block, t)] == []
+
+
 # -- 7: substring dedup --------------------------------------------------------------------
 
 def removed(rows, window):

@@ -39,8 +39,7 @@ from textmine.llm.common import read_table
 from textmine.llm.wordhash import LOWER, PUNCTUATION, text_slices, word_hashes
 
 PASSAGE = 32
-RANK = 256         # directions of the search space, as many as items in a block
-CORPUS_RANK = 32   # of which from the corpus, before both are merged
+CORPUS_RANK = 32   # directions of the search space from the corpus, besides those of all items
 EXTRA = 16         # oversampling of the randomised SVD
 CANDIDATE = 0.25
 CERTAIN = 0.8
@@ -113,7 +112,7 @@ class Block:
         # Corpus directions and items get equal total weight in the space of the block.
         scale = np.linalg.norm(rows) / max(np.linalg.norm(corpus), 1e-12)
         _, _, basis = np.linalg.svd(np.vstack([rows, corpus * scale]), full_matrices=False)
-        basis = basis[:RANK].T
+        basis = basis.T  # every direction, so that no item loses any of its length
         self.weight = (idf ** 2).astype(np.float32)
         # The commonest terms stay out of the projection as long as every item
         # keeps four fifths of its squared weight without them.
