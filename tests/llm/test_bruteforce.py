@@ -373,6 +373,15 @@ def test_full_blocks_keep_every_item():
         assert [i for i, t in enumerate(texts) if i not in found_items(block, t)] == []
 
 
+@pytest.mark.parametrize("n", [400, 2000, 5000])
+def test_long_items_are_found(n):
+    rng = random.Random(22)
+    items = [" ".join(f"u{k}" for k in rng.sample(range(20_000), size)) for size in (n, 33)]
+    texts = [" ".join([*own_words(rng, 70), item, *own_words(rng, 70)]) for item in items]
+    block = fitted_block(items, texts + [" ".join(own_words(rng, 5000)) for _ in range(20)])
+    assert [found_items(block, t) for t in texts] == [{0}, {1}]
+
+
 # -- 7: substring dedup --------------------------------------------------------------------
 
 def removed(rows, window):

@@ -8,13 +8,14 @@ bounded size.  For each block:
    all documents gives every term's passage frequency and, in the same pass, a
    randomised sketch of the passages' term-by-term matrix, summed by term.
 2. *SVD*: the sketch gives the leading singular directions of the TF-IDF
-   passages (randomised SVD in Nystrom form, one pass); together with the
-   items' own TF-IDF rows they span the search space.  The driver's matrices
-   have a row for each term or item of the block.
+   passages (randomised SVD in Nystrom form, one pass).  Items are cut into
+   pieces of at most ``PASSAGE`` words; for every ``SPACE_PIECES`` pieces, their
+   own TF-IDF rows and the corpus directions span a search space.  The driver's
+   matrices have a row for each term or piece of the block.
 3. *Search*: every run of ``PASSAGE`` words, in steps of half its length, is
-   projected on them; its cosine with an item (the length counts all words of
-   the passage, also those no item has) of ``CANDIDATE`` or more makes a
-   candidate.
+   projected on them; its cosine with a piece (the length counts all words of
+   the passage, also those no item has) of ``CANDIDATE`` or more makes the whole
+   item a candidate, however long it is.
 4. *Check*: the longest common subsequence of item and document around the
    candidate.  A share of ``CERTAIN`` of the item's words, or of ``LIKELY``
    with ``ANSWER`` of its answer (its last sentence), is contamination.
@@ -40,6 +41,7 @@ from textmine.llm.wordhash import LOWER, PUNCTUATION, text_slices, word_hashes
 
 PASSAGE = 32
 CORPUS_RANK = 32   # directions of the search space from the corpus, besides those of all items
+SPACE_PIECES = 256 # pieces of items in one search space
 EXTRA = 16         # oversampling of the randomised SVD
 CANDIDATE = 0.25
 CERTAIN = 0.8
@@ -73,6 +75,51 @@ def _lookup(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(terms[at] == hashes, at, -1)
 
 
+class Space:
+    """Search space of some pieces of items: projection of their terms, and the pieces in it."""
+
+    def __init__(self, pieces, idf: np.ndarray, corpus: np.ndarray):
+        self.owners = [item for item, _ in pieces]
+        terms = np.unique(np.concatenate([ids for _, ids in pieces]))
+        rows = np.zeros((len(pieces), len(terms)))
+        for r, (_, ids) in enumerate(pieces):
+            np.add.at(rows[r], np.searchsorted(terms, ids), 1.0)
+        idf, corpus = idf[terms], corpus[:, terms]
+        rows = rows * idf
+        # Corpus directions and pieces get equal total weight in the space.
+        scale = np.linalg.norm(rows) / max(np.linalg.norm(corpus), 1e-12)
+        _, _, basis = np.linalg.svd(np.vstack([rows, corpus * scale]), full_matrices=False)
+        basis = basis.T  # every direction, so that no piece loses any of its length
+        # The commonest terms stay out of the projection as long as every piece
+        # keeps four fifths of its squared weight without them.
+        used = np.ones(len(terms), dtype=bool)
+        energy = rows ** 2
+        left, least = energy.sum(axis=1), 0.8 * energy.sum(axis=1)
+        for term in np.argsort(idf, kind="stable"):
+            if (left - energy[:, term] < least).any():
+                break
+            left -= energy[:, term]
+            used[term] = False
+        self.terms = terms[used]
+        self.project = (basis * idf[:, None])[used].astype(np.float32)
+        seen = rows @ basis
+        self.queries = (seen / np.maximum(np.linalg.norm(seen, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+    def scores(self, ids: np.ndarray, blocks: int) -> np.ndarray | None:
+        """Inner products of all passages of one document, of two half passages each, with the pieces."""
+        local = _lookup(self.terms, ids)
+        known = np.flatnonzero(local >= 0)
+        if not len(known):
+            return None
+        sums = np.zeros((blocks, self.project.shape[1]), dtype=np.float32)
+        where = known // (PASSAGE // 2)
+        first = np.flatnonzero(np.diff(where, prepend=-1))
+        sums[where[first]] = np.add.reduceat(self.project[local[known]], first, axis=0)
+        if blocks > 1:
+            sums = sums[:-1] + sums[1:]
+        return sums @ self.queries.T
+
+
 class Block:
     """Items of one block: words, terms, and after ``fit`` the projection."""
 
@@ -98,10 +145,7 @@ class Block:
         """Projection from passage frequencies and the sketch CtC @ test over ``passages`` passages."""
         idf = np.log((passages + 1.0) / (frequency + 1.0)) + 0.1
         self.rare = float(np.log(passages + 1.0) + 0.1)  # weight of words that no item has
-        rows = np.zeros((len(self.items), len(self.terms)))
-        for r, ids in enumerate(self.items):
-            np.add.at(rows[r], ids, 1.0)
-        rows = rows * idf
+        self.weight = (idf ** 2).astype(np.float32)
         # Randomised SVD of the passages, TF-IDF: D CtC D with test matrix D^-1 test (Nystrom form).
         image = sketch * idf[:, None]
         core = self.test.T @ sketch
@@ -109,48 +153,28 @@ class Block:
         keep = values > max(values.max(initial=0.0), 1e-12) * 1e-9
         corpus, strength, _ = np.linalg.svd(image @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
         corpus = (corpus * strength)[:, :CORPUS_RANK].T
-        # Corpus directions and items get equal total weight in the space of the block.
-        scale = np.linalg.norm(rows) / max(np.linalg.norm(corpus), 1e-12)
-        _, _, basis = np.linalg.svd(np.vstack([rows, corpus * scale]), full_matrices=False)
-        basis = basis.T  # every direction, so that no item loses any of its length
-        self.weight = (idf ** 2).astype(np.float32)
-        # The commonest terms stay out of the projection as long as every item
-        # keeps four fifths of its squared weight without them.
-        used = np.ones(len(self.terms), dtype=bool)
-        energy = rows ** 2
-        left, least = energy.sum(axis=1), 0.8 * energy.sum(axis=1)
-        for term in np.argsort(idf, kind="stable"):
-            if (left - energy[:, term] < least).any():
-                break
-            left -= energy[:, term]
-            used[term] = False
-        self.used = used
-        self.project = (basis * idf[:, None]).astype(np.float32)
-        seen = rows @ basis
-        self.queries = (seen / np.maximum(np.linalg.norm(seen, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        pieces = [(item, piece) for item, ids in enumerate(self.items) if len(ids)
+                  for piece in np.array_split(ids, -(-len(ids) // PASSAGE))]
+        self.spaces = [Space(pieces[k:k + SPACE_PIECES], idf, corpus) for k in range(0, len(pieces), SPACE_PIECES)]
         self.test = None
 
     def candidates(self, ids: np.ndarray) -> dict[int, list[int]]:
-        """Item -> first words of the passages of one document that come near it."""
-        n, half = len(ids), PASSAGE // 2
-        if not n:
+        """Item -> first words, ascending, of the passages of one document that come near one of its pieces."""
+        half = PASSAGE // 2
+        if not (ids >= 0).any():
             return {}
-        known = np.flatnonzero((ids >= 0) & self.used[ids])
-        if not len(known):
-            return {}
-        blocks = -(-n // half)
-        sums = np.zeros((blocks, self.project.shape[1]), dtype=np.float32)
-        where = known // half
-        first = np.flatnonzero(np.diff(where, prepend=-1))
-        sums[where[first]] = np.add.reduceat(self.project[ids[known]], first, axis=0)
-        norm = np.bincount(np.arange(n) // half, weights=np.where(ids >= 0, self.weight[ids], self.rare**2), minlength=blocks)
+        blocks = -(-len(ids) // half)
+        norm = np.bincount(np.arange(len(ids)) // half, weights=np.where(ids >= 0, self.weight[ids], self.rare**2), minlength=blocks)
         if blocks > 1:
-            sums, norm = sums[:-1] + sums[1:], norm[:-1] + norm[1:]
-        score = sums @ self.queries.T / np.sqrt(np.maximum(norm, 1e-12))[:, None]
-        out: dict[int, list[int]] = {}
-        for block, item in zip(*np.nonzero(score >= CANDIDATE), strict=True):
-            out.setdefault(int(item), []).append(int(block) * half)
-        return out
+            norm = norm[:-1] + norm[1:]
+        norm = np.sqrt(np.maximum(norm, 1e-12))[:, None]
+        out: dict[int, set[int]] = {}
+        for space in self.spaces:
+            scores = space.scores(ids, blocks)
+            if scores is not None:
+                for block, piece in zip(*np.nonzero(scores / norm >= CANDIDATE), strict=True):
+                    out.setdefault(space.owners[piece], set()).add(int(block) * half)
+        return {item: sorted(starts) for item, starts in out.items()}
 
     def matches(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, common words, common words of the answer) of the contaminating items."""
