@@ -382,6 +382,20 @@ def test_long_items_are_found(n):
     assert [found_items(block, t) for t in texts] == [{0}, {1}]
 
 
+@pytest.mark.parametrize("scale", [1, 300, 30_000])
+def test_paraphrases_are_found_in_tables_of_any_size(scale):
+    rng = random.Random(23)
+    items, texts = [], []
+    for i in range(256):
+        words = own_words(rng, 15 + i % 45)
+        items.append(" ".join(words[:-6]) + ". " + " ".join(words[-6:]))
+        gone = rng.sample(range(len(words) - 6), int(0.38 * len(words)))
+        copy = [f"other{k}" if k in gone else w for k, w in enumerate(words)]
+        texts.append(" ".join([*own_words(rng, rng.randint(0, 60)), *copy, *own_words(rng, 40)]))
+    block = fitted_block(items, texts + [" ".join(own_words(rng, 5000)) for _ in range(20)], scale)
+    assert [i for i, t in enumerate(texts) if i not in found_items(block, t)] == []
+
+
 # -- 7: substring dedup --------------------------------------------------------------------
 
 def removed(rows, window):

@@ -12,10 +12,12 @@ bounded size.  For each block:
    pieces of at most ``PASSAGE`` words; for every ``SPACE_PIECES`` pieces, their
    own TF-IDF rows and the corpus directions span a search space.  The driver's
    matrices have a row for each term or piece of the block.
-3. *Search*: every run of ``PASSAGE`` words, in steps of half its length, is
-   projected on them; its cosine with a piece (the length counts all words of
-   the passage, also those no item has) of ``CANDIDATE`` or more makes the whole
-   item a candidate, however long it is.
+3. *Search*: every run of three half passages, in steps of half a passage, is
+   projected on them; its product with a piece is the squared TF-IDF weight of
+   their common words.  As much as the commonest words that make up ``LIKELY`` of
+   the piece weigh (less is not possible for a copy that keeps so many words
+   within ``PASSAGE`` words) makes the whole item a candidate, however long the
+   item or large the table is.
 4. *Check*: the longest common subsequence of item and document around the
    candidate.  A share of ``CERTAIN`` of the item's words, or of ``LIKELY``
    with ``ANSWER`` of its answer (its last sentence), is contamination.
@@ -40,10 +42,11 @@ from textmine.llm.common import read_table
 from textmine.llm.wordhash import LOWER, PUNCTUATION, text_slices, word_hashes
 
 PASSAGE = 32
+RUN = PASSAGE + PASSAGE // 2
 CORPUS_RANK = 32   # directions of the search space from the corpus, besides those of all items
 SPACE_PIECES = 256 # pieces of items in one search space
 EXTRA = 16         # oversampling of the randomised SVD
-CANDIDATE = 0.25
+LEFT_OUT = 0.2     # of a piece's bound, in commonest words that are not projected
 CERTAIN = 0.8
 LIKELY, ANSWER = 0.6, 0.8
 BLOCK_ITEMS = 256
@@ -83,41 +86,50 @@ class Space:
         terms = np.unique(np.concatenate([ids for _, ids in pieces]))
         rows = np.zeros((len(pieces), len(terms)))
         for r, (_, ids) in enumerate(pieces):
-            np.add.at(rows[r], np.searchsorted(terms, ids), 1.0)
+            rows[r, np.searchsorted(terms, ids)] = 1.0
         idf, corpus = idf[terms], corpus[:, terms]
         rows = rows * idf
         # Corpus directions and pieces get equal total weight in the space.
         scale = np.linalg.norm(rows) / max(np.linalg.norm(corpus), 1e-12)
         _, _, basis = np.linalg.svd(np.vstack([rows, corpus * scale]), full_matrices=False)
         basis = basis.T  # every direction, so that no piece loses any of its length
-        # The commonest terms stay out of the projection as long as every piece
-        # keeps four fifths of its squared weight without them.
+        # The least weight of as many words of a piece as LIKELY asks for.
+        weights = [np.sort(idf[np.searchsorted(terms, ids)] ** 2) for _, ids in pieces]
+        least = np.array([w[:max(1, int(np.ceil(LIKELY * len(w) - 1e-9)))].sum() for w in weights])
+        # The commonest terms stay out of the projection, and their weight out of
+        # the bounds, as long as no piece loses more than LEFT_OUT of its bound.
         used = np.ones(len(terms), dtype=bool)
-        energy = rows ** 2
-        left, least = energy.sum(axis=1), 0.8 * energy.sum(axis=1)
+        counts = np.zeros_like(rows)
+        for r, (_, ids) in enumerate(pieces):
+            np.add.at(counts[r], np.searchsorted(terms, ids), 1.0)
+        gone = np.zeros(len(pieces))
         for term in np.argsort(idf, kind="stable"):
-            if (left - energy[:, term] < least).any():
+            more = gone + counts[:, term] * idf[term] ** 2
+            if (more > LEFT_OUT * least).any():
                 break
-            left -= energy[:, term]
-            used[term] = False
+            gone, used[term] = more, False
+        self.least = ((least - gone) * (1 - 1e-4)).astype(np.float32)  # room for rounding
         self.terms = terms[used]
         self.project = (basis * idf[:, None])[used].astype(np.float32)
-        seen = rows @ basis
-        self.queries = (seen / np.maximum(np.linalg.norm(seen, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+        self.queries = (rows @ basis).astype(np.float32)
 
-    def scores(self, ids: np.ndarray, blocks: int) -> np.ndarray | None:
-        """Inner products of all passages of one document, of two half passages each, with the pieces."""
+    def near(self, ids: np.ndarray):
+        """(first word, piece) of all runs of three half passages of one document that reach a piece's bound."""
+        half = PASSAGE // 2
         local = _lookup(self.terms, ids)
         known = np.flatnonzero(local >= 0)
         if not len(known):
-            return None
+            return
+        blocks = -(-len(ids) // half)
         sums = np.zeros((blocks, self.project.shape[1]), dtype=np.float32)
-        where = known // (PASSAGE // 2)
+        where = known // half
         first = np.flatnonzero(np.diff(where, prepend=-1))
         sums[where[first]] = np.add.reduceat(self.project[local[known]], first, axis=0)
-        if blocks > 1:
-            sums = sums[:-1] + sums[1:]
-        return sums @ self.queries.T
+        # Any PASSAGE words in a row lie within one such run.
+        wide = min(RUN // half, blocks)
+        sums = sum(sums[k:blocks - wide + 1 + k] for k in range(wide))
+        for block, piece in zip(*np.nonzero(sums @ self.queries.T >= self.least), strict=True):
+            yield int(block) * half, int(piece)
 
 
 class Block:
@@ -144,8 +156,6 @@ class Block:
     def fit(self, frequency: np.ndarray, sketch: np.ndarray, passages: int) -> None:
         """Projection from passage frequencies and the sketch CtC @ test over ``passages`` passages."""
         idf = np.log((passages + 1.0) / (frequency + 1.0)) + 0.1
-        self.rare = float(np.log(passages + 1.0) + 0.1)  # weight of words that no item has
-        self.weight = (idf ** 2).astype(np.float32)
         # Randomised SVD of the passages, TF-IDF: D CtC D with test matrix D^-1 test (Nystrom form).
         image = sketch * idf[:, None]
         core = self.test.T @ sketch
@@ -159,21 +169,12 @@ class Block:
         self.test = None
 
     def candidates(self, ids: np.ndarray) -> dict[int, list[int]]:
-        """Item -> first words, ascending, of the passages of one document that come near one of its pieces."""
-        half = PASSAGE // 2
-        if not (ids >= 0).any():
-            return {}
-        blocks = -(-len(ids) // half)
-        norm = np.bincount(np.arange(len(ids)) // half, weights=np.where(ids >= 0, self.weight[ids], self.rare**2), minlength=blocks)
-        if blocks > 1:
-            norm = norm[:-1] + norm[1:]
-        norm = np.sqrt(np.maximum(norm, 1e-12))[:, None]
+        """Item -> first words, ascending, of the runs of one document that come near one of its pieces."""
         out: dict[int, set[int]] = {}
-        for space in self.spaces:
-            scores = space.scores(ids, blocks)
-            if scores is not None:
-                for block, piece in zip(*np.nonzero(scores / norm >= CANDIDATE), strict=True):
-                    out.setdefault(space.owners[piece], set()).add(int(block) * half)
+        if (ids >= 0).any():
+            for space in self.spaces:
+                for start, piece in space.near(ids):
+                    out.setdefault(space.owners[piece], set()).add(start)
         return {item: sorted(starts) for item, starts in out.items()}
 
     def matches(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
@@ -194,11 +195,11 @@ class Block:
 
 
 def _regions(starts: list[int], around: int, n: int) -> list[tuple[int, int]]:
-    """Surroundings of candidate passages; touching passages share one, not much longer than item and passage."""
+    """Surroundings of candidate runs; touching runs share one, not much longer than item and run."""
     out = []
     for s in starts:
-        a, b = max(0, s - around), min(n, s + PASSAGE + around)
-        if out and s <= out[-1][2] + PASSAGE and b - out[-1][0] <= 2 * around + 2 * PASSAGE:
+        a, b = max(0, s - around), min(n, s + RUN + around)
+        if out and s <= out[-1][2] + RUN and b - out[-1][0] <= 2 * around + 2 * RUN:
             out[-1] = (out[-1][0], b, s)
         else:
             out.append((a, b, s))
