@@ -396,6 +396,17 @@ def test_paraphrases_are_found_in_tables_of_any_size(scale):
     assert [i for i, t in enumerate(texts) if i not in found_items(block, t)] == []
 
 
+def test_each_region_is_checked_with_its_own_answer():
+    words = [f"v{k}" for k in range(40)]
+    item = " ".join(words[:32]) + ". " + " ".join(words[32:])
+    without = words[:28] + [f"x{k}" for k in range(12)]                        # 0.7 of the item, not its answer
+    answered = words[:18] + [f"y{k}" for k in range(14)] + words[32:]          # 0.65 with the whole answer
+    gap = [f"z{k}" for k in range(300)]
+    block = fitted_block([item], [" ".join(gap)] * 3)
+    assert found_items(block, " ".join(without + gap)) == set()
+    assert found_items(block, " ".join(answered + gap)) == found_items(block, " ".join(without + gap + answered)) == {0}
+
+
 # -- 7: substring dedup --------------------------------------------------------------------
 
 def removed(rows, window):

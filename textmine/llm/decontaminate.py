@@ -182,15 +182,17 @@ class Block:
         out = []
         for item, starts in self.candidates(ids).items():
             n = len(self.items[item])
-            best = (0, 0)
+            best = None
             for a, b in _regions(starts, n, len(ids)):
                 region = ids[a:b].tolist()
                 found = _common(self.masks[item], n, region)
-                if found >= LIKELY * n:
-                    best = max(best, (found, _common(self.answer_masks[item], len(self.answers[item]), region)))
-            found, answer = best
-            if n and (found >= CERTAIN * n or (found >= LIKELY * n and answer >= ANSWER * len(self.answers[item]))):
-                out.append((item, found, answer))
+                if found < LIKELY * n:
+                    continue
+                answer = _common(self.answer_masks[item], len(self.answers[item]), region)
+                if found >= CERTAIN * n or answer >= ANSWER * len(self.answers[item]):
+                    best = max(best or (0, 0), (found, answer))
+            if best:
+                out.append((item, *best))
         return out
 
 
