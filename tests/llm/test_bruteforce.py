@@ -511,6 +511,23 @@ def test_templates_are_generalised_and_rejected(spark):
     assert {by[200 + i].verdict for i in range(40)} == {"block"} and by[300].verdict == "allow"
 
 
+def verdicts(spark, paths, bad):
+    """path -> verdict, the label of each URL being bad if its path starts with ``bad``."""
+    urls = [(i, f"http://site.org{path}/{i}", int(not path.startswith(bad))) for i, path in enumerate(paths)]
+    out = url_filter.judge(spark.createDataFrame([u[:2] for u in urls], "page_id long, url string"),
+                           spark.createDataFrame([(i, good) for i, _, good in urls], "label_id long, good int"))
+    got = {}
+    for r in out.collect():
+        got.setdefault(paths[r.page_id], set()).add(r.verdict)
+    return got
+
+
+def test_frequent_children_keep_their_verdicts_at_any_count(spark):
+    sections = [f"/section{'x' * (k % 7)}{chr(97 + k % 26)}{k}" for k in range(40)]
+    want = {s: {"block" if s == sections[0] else "allow"} for s in sections}
+    assert verdicts(spark, sections * 20, sections[0]) == want
+
+
 # -- pipeline ------------------------------------------------------------------------------
 
 def test_pipeline_against_brute_force(spark, library):

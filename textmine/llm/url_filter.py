@@ -5,8 +5,10 @@ fitting rule wins.  URLs that no rule fits are judged by their template:
 
 1. The path's segments are generalised by form (numbers, hexadecimal ids, very
    long segments become wildcards) and URLs are counted by (host, form).
-2. Level by level, a node of the tree whose literal children are too many, or
-   nearly all different, has them replaced by one wildcard ``*``.
+2. Level by level, the rare literal children of
+   a node (no more URLs than the branch above has pseudo-labels) are replaced by
+   one wildcard ``*`` if they are many, or nearly all different.  Children with
+   more URLs stay literal, however many they are.
 3. At each level the children of a node are ordered by their smoothed share of
    good labels; labelled neighbours whose shares do not differ significantly
    (a two-proportion test) are merged into one branch.
@@ -14,9 +16,12 @@ fitting rule wins.  URLs that no rule fits are judged by their template:
    of the branch above, up to the host and the whole table; a template whose
    purity is below ``least_purity`` is blocked.
 
-The tree is built from the counts by (host, form), far fewer rows than URLs;
-after step 2 no node has more than ``max_children`` literal children, so the
-windows of step 3 are over bounded groups, however many URLs a host has.
+The tree is built from the counts by (host, form), far fewer rows than URLs.
+The windows of step 3 are over the distinct shares of a node's labelled
+children, so they do not grow with the children.  A path's end is a child like
+any other, so a path of k segments passes k + 1 levels; a node with one row is
+finished without a tree.  The SQL twin has three levels and wildcards by node:
+it equals the query on the given tables, whose paths have two segments.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path,
 fits no rule and belongs to the template of the empty host; duplicates are
@@ -27,6 +32,7 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import string
 from dataclasses import dataclass
 
@@ -61,10 +67,10 @@ _LEVELS = [f"t{i}" for i in range(1, DEPTH + 1)]
 
 @dataclass(frozen=True)
 class TreeParams:
-    max_children: int = 32      # more literal children than this are one wildcard
-    min_children: int = 8       # from this many on, nearly unique children are one wildcard
+    max_children: int = 32      # more rare literal children than this are one wildcard
+    min_children: int = 8       # from this many on, nearly unique rare children are one wildcard
     unique_share: float = 0.5   # distinct children per URL that counts as nearly unique
-    weight: float = 4.0         # pseudo-labels of the branch above
+    weight: float = 4.0         # pseudo-labels of the branch above; children with more URLs are not rare
     z: float = 1.96             # merge neighbours whose shares differ by fewer standard errors
     least_purity: float = 0.5
 
@@ -98,61 +104,82 @@ def _form(segment: Column) -> Column:
 
 
 def _with_forms(d: DataFrame) -> DataFrame:
-    """Adds s1..sDEPTH: the form of each segment of ``path``; null beyond its end."""
+    """Adds ``forms``: the form of every segment of ``path``."""
     bare = F.regexp_replace("path", "^/|/$", "")
-    d = d.withColumn("seg", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "/")))
-    for i in range(DEPTH):
-        d = d.withColumn(f"s{i + 1}", _form(F.get("seg", i)))
-    return d.drop("seg")
+    segments = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "/"))
+    return d.withColumn("forms", F.transform(F.slice(segments, 1, DEPTH), _form))
+
+
+def _wildcards(live: DataFrame, p: TreeParams) -> DataFrame:
+    """Step 2 of one level: adds ``child``, the form ``s`` or the wildcard for rare children (null: the path ends)."""
+    above = ["host", "node"]
+    kids = live.filter(F.col("s").isNotNull() & ~F.col("s").startswith("{")).groupBy(*above, "s").agg(F.sum("n").alias("n"))
+    rare = kids.filter(F.col("n") <= p.weight)
+    many = rare.groupBy(*above).agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    many = many.filter((F.col("c") > p.max_children)
+                       | ((F.col("c") >= p.min_children) & (F.col("c") / F.col("n") > p.unique_share)))
+    wild = rare.select(*above, "s").join(many.select(*above), above, "left_semi").withColumn("wild", F.lit(True))
+    live = live.join(wild, [*above, "s"], "left")
+    return live.withColumn("child", F.when(F.col("wild"), F.lit("*")).otherwise(F.col("s"))).drop("wild")
+
+
+def _branches(live: DataFrame, p: TreeParams) -> DataFrame:
+    """Steps 3 and 4 of one level: (host, node, child, rows, branch_purity) of every child."""
+    above, w = ["host", "node"], F.lit(p.weight)
+    node = live.groupBy(*above, "child").agg(F.sum("good").alias("good"), F.sum("labelled").alias("lab"),
+                                             F.first("purity").alias("above"), F.count("*").alias("rows"))
+    node = node.withColumn("m", F.col("lab") + w).withColumn("q", (F.col("good") + w * F.col("above")) / F.col("m"))
+    seen = node.filter(F.col("lab") > 0)
+    # Children of one share are never apart: the windows are over distinct shares.
+    by = F.struct(F.col("child").isNotNull(), F.col("child"))
+    shares = seen.groupBy(*above, "q").agg(F.min_by("m", by).alias("m"), F.max_by("m", by).alias("last"), F.first("above").alias("above"),
+                                           F.sum("good").alias("good"), F.sum("lab").alias("lab"))
+    order = Window.partitionBy(*above).orderBy("q")
+    shares = shares.withColumn("q0", F.lag("q").over(order)).withColumn("m0", F.lag("last").over(order))
+    pooled = (F.col("q") * F.col("m") + F.col("q0") * F.col("m0")) / (F.col("m") + F.col("m0"))
+    error = F.sqrt(pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / F.col("m") + F.lit(1.0) / F.col("m0")))
+    apart = F.coalesce((F.col("q") - F.col("q0") > F.lit(p.z) * error).cast("int"), F.lit(0))
+    shares = shares.withColumn("apart", apart).withColumn("branch", F.sum("apart").over(order))
+    whole = Window.partitionBy(*above, "branch")
+    purity = (F.sum("good").over(whole) + w * F.col("above")) / (F.sum("lab").over(whole) + w)
+    shares = shares.select(*above, "q", purity.alias("branch_purity"))
+    columns = [*above, "child", "rows", "branch_purity"]
+    # Without labels: the purity above, no merging.
+    return seen.join(shares, [*above, "q"]).select(columns).unionByName(
+        node.filter(F.col("lab") == 0).withColumn("branch_purity", F.col("above")).select(columns))
 
 
 def template_tree(counts: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
-    """(host, s1.., t1.., purity, blocked) from ``counts`` (host, s1.., n, labelled, good)."""
-    tree = counts = staged(counts, "url-counts")
-    for i in range(DEPTH):  # step 2
-        above = ["host", *_LEVELS[:i]]
-        literal = F.col(f"s{i + 1}").isNotNull() & ~F.col(f"s{i + 1}").startswith("{")
-        kids = tree.filter(literal).groupBy(*above, f"s{i + 1}").agg(F.sum("n").alias("n"))
-        many = kids.groupBy(*above).agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-        many = many.filter((F.col("c") > p.max_children)
-                           | ((F.col("c") >= p.min_children) & (F.col("c") / F.col("n") > p.unique_share)))
-        many = many.select(*[F.col(c).alias(f"m_{c}") for c in above], F.lit(True).alias("wild"))
-        on = [tree[c].eqNullSafe(many[f"m_{c}"]) for c in above]
-        tree = tree.join(many, on, "left").drop(*[f"m_{c}" for c in above])
-        tree = tree.withColumn(_LEVELS[i], F.when(F.col("wild") & literal, F.lit("*")).otherwise(F.col(f"s{i + 1}"))).drop("wild")
-        tree = staged(tree, "url-tree")  # each level reads the last one several times
+    """(host, forms, node, purity, blocked) from ``counts`` (host, forms, n, labelled, good)."""
+    counts, w = staged(counts, "url-counts"), F.lit(p.weight)
     total = counts.agg(F.sum("good").alias("g"), F.sum("labelled").alias("l"))
     total = total.select(((F.coalesce("g", F.lit(0)) + F.lit(1.0)) / (F.coalesce("l", F.lit(0)) + F.lit(2.0))).alias("prior"))
-    w = F.lit(p.weight)
-    up = tree.groupBy("host").agg(F.sum("good").alias("good"), F.sum("labelled").alias("lab"))
-    up = up.withColumn("prior", total.scalar())
-    up = up.select("host", "prior", ((F.col("good") + w * F.col("prior")) / (F.col("lab") + w)).alias("purity"))
+    up = counts.groupBy("host").agg(F.sum("good").alias("good"), F.sum("labelled").alias("lab")).withColumn("prior", total.scalar())
+    up = up.select("host", ((F.col("good") + w * F.col("prior")) / (F.col("lab") + w)).alias("purity"))
+    live = counts.join(up, "host").withColumn("node", F.array().cast("array<string>"))
     out = None
-    for i in range(DEPTH):  # steps 3 and 4
-        keys, above = ["host", *_LEVELS[:i + 1]], ["host", *_LEVELS[:i]]
-        if i:
-            ends = up.filter(F.col(_LEVELS[i - 1]).isNull()).select(*above, *[F.lit(None).cast("string").alias(c) for c in _LEVELS[i:]], "purity")
-            out = ends if out is None else out.unionByName(ends)
-            up = up.filter(F.col(_LEVELS[i - 1]).isNotNull())
-        node = tree.groupBy(*keys).agg(F.sum("good").alias("good"), F.sum("labelled").alias("lab"))
-        u = up.select(*[F.col(c).alias(f"u_{c}") for c in above], "prior", F.col("purity").alias("above"))
-        node = node.join(u, [node[c].eqNullSafe(u[f"u_{c}"]) for c in above]).drop(*[f"u_{c}" for c in above])
-        node = node.withColumn("m", F.col("lab") + w).withColumn("q", (F.col("good") + w * F.col("above")) / F.col("m"))
-        node = node.withColumn("seen", F.col("lab") > 0)  # without labels: the purity above, no merging
-        order = Window.partitionBy(*above, "seen").orderBy("q", _LEVELS[i])
-        node = node.withColumn("q0", F.lag("q").over(order)).withColumn("m0", F.lag("m").over(order))
-        pooled = (F.col("q") * F.col("m") + F.col("q0") * F.col("m0")) / (F.col("m") + F.col("m0"))
-        error = F.sqrt(pooled * (F.lit(1.0) - pooled) * (F.lit(1.0) / F.col("m") + F.lit(1.0) / F.col("m0")))
-        apart = F.coalesce((F.col("q") - F.col("q0") > F.lit(p.z) * error).cast("int"), F.lit(0))
-        node = node.withColumn("apart", apart).withColumn("branch", F.sum("apart").over(order))
-        whole = Window.partitionBy(*above, "seen", "branch")
-        node = node.withColumn("purity", (F.sum("good").over(whole) + w * F.col("above")) / (F.sum("lab").over(whole) + w))
-        up = staged(node.select(*keys, "prior", "purity"), "url-branches")
-    ends = up.select(*keys, "purity")
-    out = ends if out is None else out.unionByName(ends)
-    out = out.select(*[F.col(c).alias(f"o_{c}") for c in keys], "purity")
-    tree = tree.join(out, [tree[c].eqNullSafe(out[f"o_{c}"]) for c in keys]).drop(*[f"o_{c}" for c in keys])
-    return tree.withColumn("blocked", F.col("purity") < p.least_purity)
+    for level in itertools.count():
+        live = _wildcards(live.withColumn("s", F.get("forms", F.lit(level))), p)
+        live = staged(live, "url-tree")  # each level reads the last one several times
+        live = live.join(staged(_branches(live, p), "url-branches").withColumnRenamed("child", "c").withColumnRenamed("host", "h")
+                         .withColumnRenamed("node", "v"), F.col("host").eqNullSafe(F.col("h")) & F.col("node").eqNullSafe(F.col("v"))
+                         & F.col("child").eqNullSafe(F.col("c")))
+        ended = F.col("child").isNull()
+        node = F.when(ended, F.col("node")).otherwise(F.concat("node", F.array("child")))
+        # A node with one row has no branches below: its levels, and the end of the
+        # path, are smoothed one after the other without a tree.
+        rest = F.when(ended, 0).otherwise(F.size("forms") - F.lit(level))
+        chain = F.aggregate(F.sequence(F.lit(0), rest), F.col("branch_purity"),
+                            lambda x, k: F.when(k == 0, x).otherwise((F.col("good") + w * x) / (F.col("labelled") + w)))
+        below = F.when(ended, F.array().cast("array<string>")).otherwise(F.slice("forms", F.lit(level + 2), F.greatest(rest - 1, F.lit(0))))
+        done = ended | (F.col("rows") == 1)
+        live = staged(live.select("host", "forms", "n", "labelled", "good", F.when(done, F.concat(node, below)).otherwise(node).alias("node"),
+                                  F.when(done, chain).otherwise(F.col("branch_purity")).alias("purity"), done.alias("done")), "url-level")
+        ready = live.filter("done").select("host", "forms", "node", "purity")
+        out = ready if out is None else out.unionByName(ready)
+        live = live.filter(~F.col("done")).drop("done")
+        if live.isEmpty():
+            return out.withColumn("blocked", F.col("purity") < p.least_purity)
 
 
 def judge(urls: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", rules=RULES,
@@ -166,16 +193,14 @@ def judge(urls: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "
     d = urls.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
     d = d.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     d = _with_forms(d)
-    forms = [f"s{i + 1}" for i in range(DEPTH)]
     number = F.regexp_extract("path", r"(?:^|/)([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
-    known = d.select("host", *forms, F.when(number != "", number.cast("long")).alias("label_id"))
+    known = d.select("host", "forms", F.when(number != "", number.cast("long")).alias("label_id"))
     known = known.join(labels.select("label_id", "good"), "label_id", "left")
-    counts = known.groupBy("host", *forms).agg(
+    counts = known.groupBy("host", "forms").agg(
         F.count("*").alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     tree = template_tree(counts, params)
-    tree = tree.select(*[F.col(c).alias(f"v_{c}") for c in ("host", *forms)], "purity", "blocked",
-                       F.concat(F.lit("/"), F.concat_ws("/", *_LEVELS)).alias("template"))
-    d = d.join(tree, [d[c].eqNullSafe(tree[f"v_{c}"]) for c in ("host", *forms)], "left")
+    tree = tree.select("host", "forms", "purity", "blocked", F.concat(F.lit("/"), F.concat_ws("/", "node")).alias("template"))
+    d = d.join(tree, ["host", "forms"], "left")
     verdict = F.when(F.col("blocked"), "block").otherwise("allow")
     for r in rules:
         verdict = F.when(F.col("rule") == r.name, F.lit(r.verdict)).otherwise(verdict)
