@@ -528,6 +528,12 @@ def test_frequent_children_keep_their_verdicts_at_any_count(spark):
     assert verdicts(spark, sections * 20, sections[0]) == want
 
 
+def test_branches_below_the_third_level_are_judged(spark):
+    deep = ["/a/b/c/good", "/a/b/c/spam", "/a/b/c/d/e/good", "/a/b/c/d/e/spam"]
+    got = verdicts(spark, [d for d in deep for _ in range(30)] + ["/a/b/c/d/e/f/g/h"], ("/a/b/c/spam", "/a/b/c/d/e/spam"))
+    assert got == {d: {"block" if d.endswith("spam") else "allow"} for d in deep} | {"/a/b/c/d/e/f/g/h": {"allow"}}
+
+
 # -- pipeline ------------------------------------------------------------------------------
 
 def test_pipeline_against_brute_force(spark, library):

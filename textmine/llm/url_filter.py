@@ -5,7 +5,7 @@ fitting rule wins.  URLs that no rule fits are judged by their template:
 
 1. The path's segments are generalised by form (numbers, hexadecimal ids, very
    long segments become wildcards) and URLs are counted by (host, form).
-2. Level by level, the rare literal children of
+2. Level by level, to the end of the longest path, the rare literal children of
    a node (no more URLs than the branch above has pseudo-labels) are replaced by
    one wildcard ``*`` if they are many, or nearly all different.  Children with
    more URLs stay literal, however many they are.
@@ -61,7 +61,7 @@ RULES = (
     UrlRule("block", "net", "/es/"),
     UrlRule("block", "net", "/fr/"),
 )
-DEPTH = 3
+DEPTH = 3  # levels of the SQL twin; the query goes down every path to its end
 _LEVELS = [f"t{i}" for i in range(1, DEPTH + 1)]
 
 
@@ -107,7 +107,7 @@ def _with_forms(d: DataFrame) -> DataFrame:
     """Adds ``forms``: the form of every segment of ``path``."""
     bare = F.regexp_replace("path", "^/|/$", "")
     segments = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "/"))
-    return d.withColumn("forms", F.transform(F.slice(segments, 1, DEPTH), _form))
+    return d.withColumn("forms", F.transform(segments, _form))
 
 
 def _wildcards(live: DataFrame, p: TreeParams) -> DataFrame:
