@@ -225,6 +225,20 @@ def test_chat_round_trip(spark, monkeypatch, rows):
     assert {(r.conv_id, r.turn, r.role, r.rendered) for r in out.collect()} == want
 
 
+def test_turns_do_not_depend_on_blocks(spark, monkeypatch):
+    rows = [(c, k, None if k % 6 else ("user" if c == 1 else "assistant"), f"line {k} of {c}" + "?" * (k % 6 == 1)) for c in (1, 2, None) for k in range(24)]
+    rows += [(3, k, ("user", "assistant")[k % 2], f"a{k}\nb" * (1 + k % 3)) for k in range(9)]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = []
+    for size in (512, 2, 1):
+        monkeypatch.setattr(chat_format, "BLOCK_ROWS", size)
+        held = chat_format.staged(chat_format.blocks(chats, "conv_id", "turn", "role", "text"), "blocks")
+        hmm = chat_format.train(held)
+        made.append((hmm.start.tolist(), hmm.step.tolist(), sorted(map(str, chat_format.format_chats(chats).collect()))))
+    assert any(r.count("line") > 2 for r in made[0][2])
+    assert made[1] == made[0] and made[2] == made[0]
+
+
 # -- 5: n-gram join ------------------------------------------------------------------------
 
 def test_bands_reach_the_recall():

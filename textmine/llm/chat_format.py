@@ -19,8 +19,8 @@ conversation of its own, a null turn comes first; rows that share conversation
 and turn are ordered by a hash of role and text, repeated rows stay repeated; a
 null or unknown role gives no marker and is recovered; of equally good paths
 the first state in order wins; an empty table gives an empty result; other
-columns are not read.  A recovered turn that crosses a block border is rendered
-in parts (``part`` > 0 continues the turn before).
+columns are not read.  The pieces of a recovered turn that crosses block borders
+are joined again, so ``part`` is always 0 and no result depends on the blocks.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmine.llm.common import partitions, read_table, staged
@@ -146,8 +146,26 @@ _ROW = pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.strin
 _ROWS = "array<struct<turn:long,role:string,text:string>>"
 
 
+_UNKNOWN, _OPEN = -1, -2
+
+
+def _first_state(row) -> int:
+    return STATES.index((row["role"], True)) if row["role"] in ROLES else _UNKNOWN
+
+
+def _last_state(row) -> int:
+    """State of a row's last line."""
+    first = _first_state(row)
+    return first if first == _UNKNOWN else first + (len(transcript_lines(row["role"], row["text"])) > 1)
+
+
 def blocks(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """(conv, part, block, rows): consecutive rows of one conversation, in order of (part, block)."""
+    """(conv, part, block, before, rows): consecutive rows of one conversation, in order of (part, block).
+
+    ``before`` is the state of the line before (``_UNKNOWN``: its role is not
+    known), null at the start of a conversation, ``_OPEN`` at the start of a
+    partition, where the conversation may have begun in an earlier one.
+    """
     d = df.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"),
                   F.lower(F.trim(role)).alias("role"), F.col(text).alias("text"))
     d = d.withColumn("tie", F.xxhash64("role", "text")).withColumn("copy", F.monotonically_increasing_id())
@@ -156,16 +174,17 @@ def blocks(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFra
 
     def run(batches):
         part, block = TaskContext.get().partitionId(), 0
-        now, rows, size = None, [], 0
+        now, rows, size, before = None, [], 0, _OPEN
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([part], pa.int32()), pa.array([block], pa.int32()),
-                                               pa.array([rows], pa.list_(_ROW))], names=["conv", "part", "block", "rows"])
+                                               pa.array([before], pa.int32()), pa.array([rows], pa.list_(_ROW))], names=["conv", "part", "block", "before", "rows"])
 
         for batch in batches:
             for c, t, r, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if rows and (now != (c,) or len(rows) >= BLOCK_ROWS or size >= BLOCK_CHARS):
                     yield out()
+                    before = _last_state(rows[-1]) if now == (c,) else None
                     rows, size, block = [], 0, block + 1
                 now = (c,)
                 rows.append({"turn": t, "role": r, "text": x})
@@ -173,7 +192,7 @@ def blocks(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFra
         if rows:
             yield out()
 
-    return d.select("conv", "turn", "role", "text").mapInArrow(run, f"conv long, part int, block int, rows {_ROWS}")
+    return d.select("conv", "turn", "role", "text").mapInArrow(run, f"conv long, part int, block int, before int, rows {_ROWS}")
 
 
 def _each(batch: pa.RecordBatch):
@@ -189,11 +208,11 @@ def train(held: DataFrame) -> Hmm:
             counts[kind, a, b] = counts.get((kind, a, b), 0) + 1
 
         for batch in batches:
-            for (rows,) in _each(batch):
-                last = None
+            for before, rows in _each(batch):
+                last = before
                 for row in rows:
                     if row["role"] not in ROLES:
-                        last = None
+                        last = _UNKNOWN
                         continue
                     begin = STATES.index((row["role"], True))
                     for i, line in enumerate(transcript_lines(row["role"], row["text"])):
@@ -203,15 +222,39 @@ def train(held: DataFrame) -> Hmm:
                         add("shape", state, shape_of(line))
                         if last is None:
                             add("start", 0, state)
-                        else:
+                        elif last >= 0:
                             add("step", last, state)
                         last = state
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()),
              pa.array([k[2] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["kind", "a", "b", "n"])
 
-    sums = held.select("rows").mapInArrow(run, "kind string, a int, b int, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    return Hmm({(r.kind, r.a, r.b): r.n for r in sums.collect()})
+    sums = held.select("before", "rows").mapInArrow(run, "kind string, a int, b int, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    counts = {(r.kind, r.a, r.b): r.n for r in sums.collect()}
+    for kind, a, b in _partition_borders(held):
+        counts[kind, a, b] = counts.get((kind, a, b), 0) + 1
+    return Hmm(counts)
+
+
+def _partition_borders(held: DataFrame):
+    """(kind, a, b) of the first lines of all partitions: starts, or steps from the partition before (a row each)."""
+    def ends(batches):
+        for batch in batches:
+            out = [(c, p, k, _first_state(rows[0]), _last_state(rows[-1])) for c, p, k, rows in _each(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
+                zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)],
+                names=["conv", "part", "block", "first", "last"])
+
+    sums = held.select("conv", "part", "block", "rows").mapInArrow(ends, "conv long, part int, block int, first int, last int").groupBy("part").agg(
+        F.min(F.struct("block", "conv", "first")).alias("head"), F.max(F.struct("block", "conv", "last")).alias("tail"))
+    before = None
+    for r in sorted(sums.collect(), key=lambda r: r.part):
+        goes_on = before is not None and before.conv == r.head.conv
+        if r.head.first != _UNKNOWN and not goes_on:
+            yield "start", 0, r.head.first
+        elif r.head.first != _UNKNOWN and before.last != _UNKNOWN:
+            yield "step", before.last, r.head.first
+        before = r.tail
 
 
 def _lines(rows) -> list[str]:
@@ -273,10 +316,13 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
     inner = staged(within.groupBy("conv", "part").applyInArrow(by_block, "conv long, part int, block int, enter int, leave int"), "chat-borders")
 
+    names = ["conv", "part", "block", "begins", "border", "turn", "role", "body"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.string(), pa.string()]
+
     def trace(batches):
         for batch in batches:
-            out = {n: [] for n in ("conv", "turn", "part", "role", "rendered")}
-            for c, rows, enter, leave in _each(batch):
+            out = []
+            for c, part, block, rows, enter, leave, alone in _each(batch):
                 source = [row["turn"] for row in rows for _ in transcript_lines(row["role"], row["text"])]
                 lines = _lines(rows)
                 states = hmm.path(lines, enter, leave)
@@ -285,22 +331,39 @@ def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
                     if not turns or STATES[state][1]:
                         turns.append((at, STATES[state], []))
                     turns[-1][2].append(marker_of(line)[1] if STATES[state][1] else line)
-                for at, (who, begin), held_lines in turns:
-                    out["conv"].append(c)
-                    out["turn"].append(at)
-                    out["part"].append(0 if begin else 1)
-                    out["role"].append(who)
-                    out["rendered"].append(f"<|{who}|>\n" + "\n".join(held_lines) + "<|end|>")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["conv"], pa.int64()), pa.array(out["turn"], pa.int64()), pa.array(out["part"], pa.int32()),
-                 pa.array(out["role"], pa.string()), pa.array(out["rendered"], pa.string())], names=list(out))
+                for k, (at, (who, begins), held_lines) in enumerate(turns):
+                    border = not begins or (not alone and k == len(turns) - 1)
+                    out.append((c, part, block, begins, border, at, who, "\n".join(held_lines)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
     i = inner.select(F.col("part").alias("p"), F.col("block").alias("b"), "enter", "leave")
     no_state = F.lit(None).cast("int")
-    ready = d.filter("alone").select("conv", "rows", no_state.alias("enter"), no_state.alias("leave")).unionByName(
-        several.join(i, (F.col("part") == F.col("p")) & (F.col("block") == F.col("b"))).select("conv", "rows", "enter", "leave"))
-    made = ready.mapInArrow(trace, "conv long, turn long, part int, role string, rendered string")
-    return made.select(F.col("conv").alias(conv), F.col("turn").alias(turn), "part", "role", "rendered")
+    columns = ["conv", "part", "block", "rows", "enter", "leave", "alone"]
+    ready = d.filter("alone").withColumns({"enter": no_state, "leave": no_state}).select(columns).unionByName(
+        several.join(i, (F.col("part") == F.col("p")) & (F.col("block") == F.col("b"))).select(columns))
+    pieces = staged(ready.mapInArrow(
+        trace, "conv long, part int, block int, begins boolean, border boolean, turn long, role string, body string"), "chat-pieces")
+
+    # A turn that goes on over block borders: each of its pieces gets the block
+    # of its head, the last one before with a line that begins a turn.
+    cut = pieces.filter("border")
+    heads = cut.select("conv", "part", "block", F.when(F.col("begins"), F.struct("part", "block")).alias("head"))
+    heads = heads.groupBy("conv", "part", "block").agg(F.max("head").alias("head"))
+    inside = Window.partitionBy("conv", "part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    over = heads.groupBy("conv", "part").agg(F.max("head").alias("head")).select(
+        F.col("conv").alias("c"), F.col("part").alias("p"), F.max("head").over(earlier).alias("carried"))
+    heads = heads.join(over, F.col("conv").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).select(
+        F.col("part").alias("p"), F.col("block").alias("b"), F.coalesce(F.max("head").over(inside), "carried").alias("before"))
+    cut = cut.join(heads, (F.col("part") == F.col("p")) & (F.col("block") == F.col("b")))
+    cut = cut.withColumn("head", F.when(F.col("begins"), F.struct("part", "block")).otherwise(F.col("before")))
+    ordered = F.array_sort(F.collect_list(F.struct("part", "block", "conv", "turn", "role", "body")))
+    joined = cut.groupBy("head").agg(ordered.alias("x")).select(
+        F.col("x")[0]["conv"].alias("conv"), F.col("x")[0]["turn"].alias("turn"), F.col("x")[0]["role"].alias("role"),
+        F.array_join(F.transform("x", lambda y: y["body"]), "\n").alias("body"))
+    made = pieces.filter(~F.col("border")).select("conv", "turn", "role", "body").unionByName(joined)
+    rendered = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("body"), F.lit("<|end|>"))
+    return made.select(F.col("conv").alias(conv), F.col("turn").alias(turn), F.lit(0).alias("part"), "role", rendered.alias("rendered"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
