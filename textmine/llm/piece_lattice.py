@@ -20,6 +20,9 @@ import re
 from array import array
 
 import ahocorasick
+import numpy as np
+
+from textmine.llm.ragged import offsets_of
 
 SPACE = "▁"
 
@@ -47,7 +50,8 @@ def normalise(text: str) -> str:
 class Lattice:
     """Best paths in a vocabulary's lattice; ``kind`` is ``bpe`` or ``unigram``."""
 
-    MEMO = 250_000  # remembered segments, and pairs, to bound a task's memory
+    MEMO = 250_000      # remembered pairs, to bound a task's memory
+    SEGMENTS = 500_000  # remembered segments (about 90 MB)
 
     def __init__(self, vocabulary: dict, kind: str = "bpe"):
         if kind not in ("bpe", "unigram"):
@@ -295,6 +299,11 @@ class Lattice:
         """Ids of a whole text, as native 32-bit integers."""
         return b"".join(map(self.known.__getitem__, self.segments(normalise(text))))
 
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts as (values, offsets)."""
+        parts = [self.encode(t) for t in texts]
+        return np.frombuffer(b"".join(parts), dtype=np.int32), offsets_of([len(p) // 4 for p in parts])
+
     def is_cut(self, text: str, place: int) -> bool:
         """Whether no piece can cross ``place`` of the normalised ``text``."""
         if place <= 0 or place >= len(text):
@@ -313,7 +322,7 @@ class _Segments(dict):
     def __missing__(self, text: str) -> bytes:
         ids = self.lattice.encode_segment(text)
         if len(text) <= 32:
-            if len(self) >= Lattice.MEMO:
+            if len(self) >= Lattice.SEGMENTS:
                 self.clear()
             self[text] = ids
         return ids
