@@ -2,8 +2,8 @@
 
 import corpus_pipeline
 from textmine.llm import (
-    chat_format, decontaminate, ngram_join, piece_codec, quality_classifier, quality_rules, secret_scan, substring_dedup,
-    url_filter, warc)
+    byte_bpe, chat_format, decontaminate, ngram_join, periodic_runs, piece_codec, quality_classifier, quality_rules,
+    secret_scan, substring_dedup, token_align, url_filter, warc)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.query,
     "op9_warc": warc.query,
     "op10_url_filter": url_filter.query,
+    "op11_token_align": token_align.query,
+    "op12_periodic_runs": periodic_runs.query,
+    "op13_byte_bpe": byte_bpe.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
