@@ -27,8 +27,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import json
+from array import array
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -46,7 +47,7 @@ MODEL_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 MAX_ENTRIES = 1_000_000  # vocabulary entries that may be broadcast
 GAMMA = 2.0              # bits of a level for each key that it is offered
-MEMO = 200_000           # merged pre-tokens that a task remembers
+MEMO = 500_000           # merged pre-tokens that a task remembers (about 100 MB)
 
 
 # ------------------------------------------------------------------ vocabulary
@@ -139,13 +140,19 @@ def broadcast_vocabulary(spark: SparkSession, model_file: str = MODEL_FILE, patt
 # -------------------------------------------------------------------- encoding
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a word by merging its linked bytes, lowest rank first, leftmost first among equals."""
-    n = len(word)
-    after = list(range(1, n + 2))   # where the part that starts here ends; 0 once it is no start
-    before = list(range(-1, n + 1))  # start of the part in front
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i:i + 2])) is not None]
-    heapq.heapify(heap)
+    n, rank = len(word), ranks.get
+    if n < 2:
+        return [ranks[word]] if n else []
+    bits = (n + 1).bit_length()
+    mask = (1 << bits) - 1
+    after = list(range(1, n + 2))  # where the part that starts here ends; 0 once it is no start
+    before = list(range(-1, n))    # start of the part in front
+    # One integer a pair: its rank, its start, its end.
+    heap = [(r << bits | i) << bits | i + 2 for i in range(n - 1) if (r := rank(word[i:i + 2])) is not None]
+    heapify(heap)
     while heap:
-        _, i, end = heapq.heappop(heap)
+        entry = heappop(heap)
+        i, end = entry >> bits & mask, entry & mask
         middle = after[i]
         # An entry stands while two neighbouring parts span i .. end, whichever they are.
         if not middle or middle >= n or after[middle] != end:
@@ -154,10 +161,10 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
         if end < n:
             before[end] = i
             stop = after[end]
-            if (r := ranks.get(word[i:stop])) is not None:
-                heapq.heappush(heap, (r, i, stop))
-        if (left := before[i]) >= 0 and (r := ranks.get(word[left:end])) is not None:
-            heapq.heappush(heap, (r, left, end))
+            if (r := rank(word[i:stop])) is not None:
+                heappush(heap, (r << bits | i) << bits | stop)
+        if (left := before[i]) >= 0 and (r := rank(word[left:end])) is not None:
+            heappush(heap, (r << bits | left) << bits | end)
     out, i = [], 0
     while i < n:
         out.append(ranks[word[i:after[i]]])
@@ -178,7 +185,7 @@ class ByteBpe:
         self.names = [b""] * (max(self.ranks.values()) + 1)
         for token, i in entries:
             self.names[i] = token
-        self.merged: dict[bytes, list[int]] = {}
+        self.merged: dict[bytes, bytes] = {}  # miss -> ids as native 32-bit integers
 
     @classmethod
     def of(cls, broadcast) -> ByteBpe:
@@ -187,10 +194,10 @@ class ByteBpe:
             value["coder"] = cls(value)
         return value["coder"]
 
-    def _merge(self, word: bytes) -> list[int]:
+    def _merge(self, word: bytes) -> bytes:
         ids = self.merged.get(word)
         if ids is None:
-            ids = merge(word, self.ranks)
+            ids = array("i", merge(word, self.ranks)).tobytes()
             if len(word) <= 64:
                 if len(self.merged) >= MEMO:
                     self.merged.clear()
@@ -204,13 +211,13 @@ class ByteBpe:
         misses = np.flatnonzero(number < 0)
         made = [self._merge(w) for w in words.take(pa.array(misses)).to_pylist()]
         lengths = np.ones(len(words), dtype=np.int64)
-        lengths[misses] = [len(m) for m in made]
+        lengths[misses] = [len(m) // 4 for m in made]
         offsets = offsets_of(lengths)
         ids = np.empty(offsets[-1], dtype=np.int32)
         hits = number >= 0
         ids[offsets[:-1][hits]] = self.ids[number[hits]]
         if made:
-            flat = np.array([i for m in made for i in m], dtype=np.int32)
+            flat = np.frombuffer(b"".join(made), dtype=np.int32)
             inside = offsets_of(lengths[misses])
             ids[np.arange(len(flat)) + np.repeat(offsets[misses] - inside[:-1], lengths[misses])] = flat
         return ids, offsets
