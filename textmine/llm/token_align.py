@@ -1,6 +1,7 @@
 """Alignment of two tokenizers' ids over a corpus.
 
-Both tokenizers encode the same bytes of a text.  Byte offsets where tokens of
+Both tokenizers encode the same bytes of a text: inside tasks the public libraries
+do, as encoding is not what this operator is about.  Byte offsets where tokens of
 both end cut them into groups; every two tokens whose bytes overlap are a link,
 and a pair of ids counts the documents that hold it linked.
 
@@ -25,19 +26,21 @@ other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmine.llm import byte_bpe, piece_codec
-from textmine.llm.byte_bpe import ByteBpe
+from textmine.llm.byte_bpe import MAX_ENTRIES, PATTERN, load_ranks
 from textmine.llm.common import read_table, staged
-from textmine.llm.piece_lattice import Decoder, Lattice
+from textmine.llm.piece_lattice import Decoder, load_vocabulary
 from textmine.llm.ragged import list_array, offsets_of, row_slices
 
 A_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,65 +67,88 @@ def identity_map(a_bytes: list[bytes], b_bytes: list[bytes], byte_ids: list[int]
     return np.array([where.get(t, -1) if t else -1 for t in a_bytes], dtype=np.int64)
 
 
+def broadcast_vocabularies(spark: SparkSession, a_file: str = A_FILE, b_file: str = B_FILE):
+    """Both vocabularies as plain values; their sizes are checked."""
+    b = load_vocabulary(b_file)
+    with open(b_file, "rb") as f:
+        model = f.read()
+    value = {"ranks": load_ranks(a_file), "pattern": PATTERN, "model": model, "b_bytes": Decoder(b).table, "stand_in": b["bytes"]}
+    if max(len(value["ranks"]), len(value["b_bytes"])) > MAX_ENTRIES:
+        raise ValueError("a vocabulary is too large to broadcast")
+    return spark.sparkContext.broadcast(value)
+
+
 class Aligner:
-    """Both encoders and the tables of one pair of vocabularies, in a task's worker."""
+    """Both tokenizers and the tables of one pair of vocabularies, in a task's worker."""
 
-    def __init__(self, a: ByteBpe, lattice: Lattice, b_vocabulary: dict):
-        self.a, self.lattice = a, lattice
-        self.names = a.names, Decoder(b_vocabulary).table
+    def __init__(self, value: dict):
+        a_names = [b""] * (max(value["ranks"].values()) + 1)
+        for token, i in value["ranks"].items():
+            a_names[i] = token
+        self.names = a_names, value["b_bytes"]
         self.lengths = tuple(np.array([len(t) for t in names], dtype=np.int64) for names in self.names)
-        self.size_b = len(self.names[1])
-        self.same = identity_map(*self.names, b_vocabulary["bytes"])
-        n_a = len(self.names[0])
+        n_a, self.size_b = map(len, self.names)
+        self.same = identity_map(*self.names, value["stand_in"])
         # Text of a token inside its side of a group and at the side's end, A before B.
         self.shown = [f"{i}{sign}".encode() for n, signs in ((n_a, ",|"), (self.size_b, ",;")) for sign in signs for i in range(n)]
         self.shown_at = (0, n_a, 2 * n_a, 2 * n_a + self.size_b)
 
+    @classmethod
+    def of(cls, broadcast) -> Aligner:
+        value = broadcast.value
+        if "aligner" not in value:
+            made = value["aligner"] = cls(value)
+            made.one = tiktoken.Encoding("a", pat_str=value["pattern"], mergeable_ranks=value["ranks"], special_tokens={})
+            made.two = sentencepiece.SentencePieceProcessor(model_proto=value["model"])
+        return value["aligner"]
+
     def tokens(self, texts: list[str | None]):
         """Ids of both sides and their offsets by text; none where the bytes of either side differ from space + text."""
         spaced = [" " + t if t else "" for t in texts]
         want = [t.encode() for t in spaced]
+        lists = [self.one.encode_ordinary(t) for t in spaced], self.two.encode([t or "" for t in texts], num_threads=1)
         sides, good = [], np.ones(len(texts), dtype=bool)
-        for side, (ids, offsets) in enumerate((self.a.encode(spaced), self.lattice.encode_texts([t or "" for t in texts]))):
-            names = self.names[side]
-            made = b"".join(map(names.__getitem__, ids.tolist()))
-            if made != b"".join(want):  # rare: look for the texts that differ
-                for r, text in enumerate(want):
-                    good[r] &= b"".join(map(names.__getitem__, ids[offsets[r]:offsets[r + 1]].tolist())) == text
-            sides.append((ids, offsets))
-        out = []
-        for ids, offsets in sides:
-            n = np.where(good, np.diff(offsets), 0)
-            out.append((ids[np.repeat(good, np.diff(offsets))], offsets_of(n)))
-        return out
+        for names, found in zip(self.names, lists, strict=True):
+            if b"".join(map(names.__getitem__, itertools.chain.from_iterable(found))) != b"".join(want):  # rare: which texts differ?
+                good &= [b"".join(map(names.__getitem__, ids)) == text for ids, text in zip(found, want, strict=True)]
+        for found in lists:
+            n = np.array([len(ids) for ids in found], dtype=np.int64)
+            ids = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=n.sum())
+            sides.append((ids[np.repeat(good, n)], offsets_of(np.where(good, n, 0))))
+        return sides
 
     def align(self, texts: list[str | None]) -> dict:
-        """Groups and links of texts; links as different (text, pair) with their number, in order."""
+        """Groups and links of texts; links as different (text, pair) with their number, in order.
+
+        Works on one mark a byte of the joined texts: where tokens of either side end.
+        """
         (a, a_at), (b, b_at) = self.tokens(texts)
         a_end, b_end = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
-        both = np.intersect1d(a_end, b_end, assume_unique=True)
         text_end = np.concatenate([[0], a_end])[a_at][1:]
+        size = int(a_end[-1]) + 1 if len(a_end) else 1
+        in_a, in_b = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+        in_a[a_end], in_b[b_end] = True, True
+        either, both = in_a | in_b, in_a & in_b
+        groups, links = np.cumsum(both), np.cumsum(either)  # up to and with a place
         # Between neighbouring ends of either side lie the bytes of one link, and of no other.
-        ends = np.union1d(a_end, b_end)
-        pair = a[np.searchsorted(a_end, ends)].astype(np.int64) * self.size_b + b[np.searchsorted(b_end, ends)]
-        text = np.searchsorted(text_end, ends)
+        ends = np.flatnonzero(either)
+        pair = a[np.cumsum(in_a)[ends - 1]] * self.size_b + b[np.cumsum(in_b)[ends - 1]]
+        n_links = np.diff(links[text_end], prepend=0)
         span = len(self.names[0]) * self.size_b
-        key, number = np.unique(text * span + pair, return_counts=True)
-        groups = np.searchsorted(both, text_end, side="right")
-        links = np.searchsorted(ends, text_end, side="right")
-        return {"n_a": np.diff(a_at), "n_b": np.diff(b_at), "n_groups": np.diff(groups, prepend=0),
-                "n_links": np.diff(links, prepend=0), "sha": self._digests(a, a_end, b, b_end, both, a_at + b_at),
+        key, number = np.unique(np.repeat(np.arange(len(texts)) * span, n_links) + pair, return_counts=True)
+        return {"n_a": np.diff(a_at), "n_b": np.diff(b_at), "n_groups": np.diff(groups[text_end], prepend=0), "n_links": n_links,
+                "sha": self._digests((a, groups[a_end - 1], both[a_end]), (b, groups[b_end - 1], both[b_end]), a_at + b_at),
                 "text": key // span, "pair": key % span, "number": number}
 
-    def _digests(self, a, a_end, b, b_end, both, token_at) -> list[str]:
-        """Digest of each text's groups, `a1,a2|b1;a3|b2,b3`."""
-        a_group, b_group = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
-        a_until, b_until = np.searchsorted(a_group, np.arange(len(both) + 1)), np.searchsorted(b_group, np.arange(len(both) + 1))
-        last_a, last_b = np.isin(a_end, both, assume_unique=True), np.isin(b_end, both, assume_unique=True)
+    def _digests(self, a, b, token_at) -> list[str]:
+        """Digest of each text's groups, `a1,a2|b1;a3|b2,b3`; a side is its ids, their groups, and which end a group."""
+        (a, a_group, a_last), (b, b_group, b_last) = a, b
+        n = int(a_group[-1]) + 1 if len(a_group) else 0
+        a_until, b_until = (offsets_of(np.bincount(g, minlength=n)) for g in (a_group, b_group))
         shown = np.empty(len(a) + len(b), dtype=np.int64)
         # A token stands behind the B tokens of earlier groups, a B token behind the A tokens of its own group too.
-        shown[np.arange(len(a)) + b_until[a_group]] = a + np.where(last_a, self.shown_at[1], self.shown_at[0])
-        shown[np.arange(len(b)) + a_until[b_group + 1]] = b + np.where(last_b, self.shown_at[3], self.shown_at[2])
+        shown[np.arange(len(a)) + b_until[a_group]] = a + np.where(a_last, self.shown_at[1], self.shown_at[0])
+        shown[np.arange(len(b)) + a_until[b_group + 1]] = b + np.where(b_last, self.shown_at[3], self.shown_at[2])
         out = []
         for x, y in zip(token_at[:-1].tolist(), token_at[1:].tolist(), strict=True):
             line = b"".join(map(self.shown.__getitem__, shown[x:y].tolist()))
@@ -166,13 +192,10 @@ class _Block:
              list_array(pairs, np.array([0, len(pairs)]), kind=pa.int64()), list_array(docs, np.array([0, len(pairs)]))], schema=_DOCS)
 
 
-def _aligned(docs: DataFrame, a_vocabulary, b_vocabulary) -> DataFrame:
+def _aligned(docs: DataFrame, vocabularies) -> DataFrame:
     """Rows of documents with their counted links, and a row of irregular pairs for each block."""
     def run(batches):
-        value = b_vocabulary.value
-        if "aligner" not in value:
-            value["aligner"] = Aligner(ByteBpe.of(a_vocabulary), Lattice(value), value)
-        aligner = value["aligner"]
+        aligner = Aligner.of(vocabularies)
         task, number, held, block = TaskContext.get().partitionId(), 0, 0, None
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
@@ -232,13 +255,12 @@ def pair_counts(df: DataFrame, key: str = "doc_id", text: str = "text", a_file:
 
 def _align(df: DataFrame, key: str, text: str, a_file: str, b_file: str):
     spark = df.sparkSession
-    a_vocabulary = byte_bpe.broadcast_vocabulary(spark, a_file)
-    b_vocabulary = piece_codec.broadcast_vocabulary(spark, b_file)
-    a_names = ByteBpe(a_vocabulary.value).names
-    n_a, size_b = len(a_names), b_vocabulary.value["size"]
-    same_b = spark.sparkContext.broadcast(identity_map(a_names, Decoder(b_vocabulary.value).table, b_vocabulary.value["bytes"]))
+    vocabularies = broadcast_vocabularies(spark, a_file, b_file)
+    tables = Aligner(vocabularies.value)
+    n_a, size_b = len(tables.names[0]), tables.size_b
+    same_b = spark.sparkContext.broadcast(tables.same)
     docs = df.select(F.col(key).cast("long").alias("row"), F.col(text).alias("text"))
-    rows = staged(_aligned(docs, a_vocabulary, b_vocabulary), "align-rows")
+    rows = staged(_aligned(docs, vocabularies), "align-rows")
     texts, blocks = rows.filter("pairs is null"), rows.filter("pairs is not null")
 
     same = _vector(texts, "same", n_a)
