@@ -16,6 +16,7 @@ from textmine.operators import lexicon as lx
 from textmine.operators import metrics as me
 from textmine.operators import proximity as px
 from textmine.operators import svm as sv
+from textmine.operators import svm_primal as sp
 from textmine.operators import tokens as tk
 from textmine.plans import feature_set_queries as fs
 from textmine.plans import sql_eval as SE
@@ -133,7 +134,7 @@ def _cv_summary(pred):
 def svm_cv(spark, sf_dir, **kw):
     vec, docs = svm_inputs(spark, sf_dir)
     folds = fo.assign_folds(docs, k=10, seed=1)
-    return sv.svm_cross_validate(vec, folds, CLASSES, **kw)
+    return sp.cross_validate(vec, folds, CLASSES, **kw)
 
 
 @query("svm_linear_cv")
@@ -170,29 +171,43 @@ def q_svm_fold_support(spark, sf_dir):
     return pred.groupBy("repeat", "fold", "actual").agg(F.count("*").alias("support"))
 
 
+def _path_summary(vec, docs, costs):
+    """Mean F1 scores of every cost of a grid; all machines of the grid are fitted together."""
+    pred = sp.cost_path(vec, fo.assign_folds(docs, k=10, seed=1), CLASSES, costs)
+    keys = ["cost", "repeat", "fold"]
+    fm = me.fold_metrics(me.class_metrics(me.confusion(pred, CLASSES, keys), keys), keys)
+    return me.cv_summary(fm, ["cost", "repeat"]).select("repeat", *_r6("macro_f1", "micro_f1", "weighted_f1"), "n_folds", "cost")
+
+
 @query("svm_cost_sweep")
 def q_svm_cost_sweep(spark, sf_dir):
-    """K16 RBF costs 10**1 .. 10**5: mean F1 scores of each."""
+    """K16 RBF costs 10**1 .. 10**5 on unigrams: mean F1 scores of each."""
     vec, docs = svm_inputs(spark, sf_dir)
-    folds = fo.assign_folds(docs, k=10, seed=1)
-    out = None
-    for power in range(1, 6):
-        one = _cv_summary(sv.svm_cross_validate(vec, folds, CLASSES, cost=10.0**power, kernel="rbf")).withColumn("cost", F.lit(10.0**power))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _path_summary(vec, docs, [10.0**k for k in range(1, 6)])
+
+
+@query("svm_cost_grid_unigram")
+def q_svm_cost_grid_unigram(spark, sf_dir):
+    """K16 the unigram grid: RBF costs 10**1 .. 10**3 by quarters of a power."""
+    vec, docs = svm_inputs(spark, sf_dir)
+    return _path_summary(vec, docs, [10.0 ** (1 + k / 4) for k in range(9)])
 
 
 # ------------------------------------------------------- L2–L4 feature sets
-def _set_cv(counts_sides, docs, n, cost, repeats):
-    """tf-idf of every side's own selected vocabulary, summed, then a ten-fold RBF SVM."""
+def _set_vectors(counts_sides, docs, n):
+    """tf-idf of every side's own selected vocabulary, summed, as sparse vectors."""
     parts = []
     for counts in counts_sides:
         w = ft.select_features(ft.tfidf(counts, n_docs=n), dictionary_vocab(counts, n))
         parts.append(w.select("doc_id", "feature", F.col("weight").alias("n")))
     w = parts[0] if len(parts) == 1 else ft.combine(*parts)
-    vec = sv.to_vectors(w.withColumnRenamed("n", "weight"), docs)
+    return sv.to_vectors(w.withColumnRenamed("n", "weight"), docs)
+
+
+def _set_cv(counts_sides, docs, n, cost, repeats):
+    """A ten-fold RBF SVM on a feature set."""
     folds = fo.assign_folds(docs, k=10, seed=1, repeats=repeats)
-    return _cv_summary(sv.svm_cross_validate(vec, folds, CLASSES, cost=cost, kernel="rbf"))
+    return _cv_summary(sp.cross_validate(_set_vectors(counts_sides, docs, n), folds, CLASSES, cost=cost, kernel="rbf"))
 
 
 @query("svm_cv_3gram")
@@ -203,12 +218,32 @@ def q_svm_cv_3gram(spark, sf_dir):
     return _set_cv([reuse(fs._gram_counts(narrow, docs))], docs, n_docs(spark, sf_dir), 63.0, 1)
 
 
+@query("svm_cost_grid_3gram")
+def q_svm_cost_grid_3gram(spark, sf_dir):
+    """K16 the 1–3-gram grid: RBF costs 10**1.5 .. 10**2.5 by tenths of a power."""
+    docs = fs._docs(spark, sf_dir)
+    narrow = tk.tokenize_words(td.labelled_corpus(spark, sf_dir), **fs.NGRAM_FLAGS)
+    vec = _set_vectors([reuse(fs._gram_counts(narrow, docs))], docs, n_docs(spark, sf_dir))
+    return _path_summary(vec, docs, [10.0 ** (1.5 + k / 10) for k in range(11)])
+
+
+def _fs1_sides(spark, sf_dir, docs):
+    return [reuse(fs._gram_counts(fs._ws_tokens(spark, sf_dir), docs)), reuse(fs._dependency_counts(spark, sf_dir, docs))]
+
+
 @query("svm_cv_fs1")
 def q_svm_cv_fs1(spark, sf_dir):
     """L3 1–3-grams of whitespace tokens and dependency triples, RBF cost 80, ten repeats."""
     docs = fs._docs(spark, sf_dir)
-    sides = [reuse(fs._gram_counts(fs._ws_tokens(spark, sf_dir), docs)), reuse(fs._dependency_counts(spark, sf_dir, docs))]
-    return _set_cv(sides, docs, n_docs(spark, sf_dir), 80.0, 10)
+    return _set_cv(_fs1_sides(spark, sf_dir, docs), docs, n_docs(spark, sf_dir), 80.0, 10)
+
+
+@query("svm_cost_grid_fs1")
+def q_svm_cost_grid_fs1(spark, sf_dir):
+    """K16 the grid of the grams with dependencies: RBF costs 10**1 .. 10**5."""
+    docs = fs._docs(spark, sf_dir)
+    vec = _set_vectors(_fs1_sides(spark, sf_dir, docs), docs, n_docs(spark, sf_dir))
+    return _path_summary(vec, docs, [10.0**k for k in range(1, 6)])
 
 
 @query("svm_cv_fs2")
@@ -291,7 +326,7 @@ def svm_summary(feats, docs, classes, task: str, k: int, ties: str, **kw):
     w = ft.select_features(labelled, vocab).select("doc_id", "feature", F.col("n").cast("double").alias("weight"))
     vec = sv.to_vectors(w, docs, vocab)
     folds = fo.assign_folds(docs, k=10, seed=1)
-    pred = sv.svm_cross_validate(vec, folds, classes, **kw)
+    pred = sp.cross_validate(vec, folds, classes, **kw)
     keys = ["repeat", "fold"]
     fm = me.fold_metrics(me.class_metrics(me.confusion(pred, classes, keys), keys), keys)
     return (me.cv_summary(fm, ["repeat"])
