@@ -279,6 +279,15 @@ def test_join_links_and_classes(spark, bucket, block):
     assert {r.doc_id: (r.class_id, r.n_links) for r in out.collect()} == jaccard_classes(rows)
 
 
+def test_of_repeated_ids_the_row_that_chose_the_class_stays(spark):
+    rng = random.Random(12)
+    a, b = prose(rng, 40), prose(rng, 40)
+    smallest = min((a, b), key=lambda t: hashlib.sha256(" ".join(t.split()).encode()).hexdigest())
+    for rows in ([(1, a), (1, b), (2, "x y z")], [(1, b), (1, a), (2, "x y z")]):
+        kept = ngram_join.keep_one(documents(spark, rows))
+        assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, smallest), (2, "x y z")}
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(500, 500 + i) for i in range(50)]
@@ -410,6 +419,36 @@ def test_paraphrases_are_found_in_tables_of_any_size(scale):
     assert [i for i, t in enumerate(texts) if i not in found_items(block, t)] == []
 
 
+def test_pieces_that_the_space_keeps_are_searched_in_it():
+    rng = random.Random(24)
+    topics = [[f"t{k}w{j}" for j in range(12)] for k in range(6)]
+    items = [" ".join(rng.sample(topics[k], 12)) for k in range(6)]
+    texts = [" ".join([*own_words(rng, 40), *rng.sample(topics[i % 6], 12), *own_words(rng, 40)]) for i in range(60)]
+    texts += [" ".join([*own_words(rng, 20), item, *own_words(rng, 20)]) for item in items]
+    block = fitted_block(items, texts)
+    assert len(block.latent) == 6
+
+    def candidates(b, text):
+        ids = decontaminate._lookup(b.terms, decontaminate._words(text))
+        return {item for _, item in b.candidates(ids, np.array([0, len(ids)]))}
+
+    assert all(k in candidates(block, texts[60 + k]) and k in found_items(block, texts[60 + k]) for k in range(6))
+    # Words of a topic in another order are near in the space, without a common subsequence.
+    assert all(i % 6 in candidates(block, texts[i]) for i in range(60))
+    blind = decontaminate.Block(list(enumerate(items)))
+    blind.fit(np.full(len(blind.terms), 10.0), np.zeros(blind.test.shape), 500)
+    assert len(blind.latent) == 0  # without the sketch nothing is searched in the space
+
+
+def test_common_words_must_stand_close_together():
+    rng = random.Random(25)
+    words = [f"v{k}" for k in range(30)]
+    block = fitted_block([" ".join(words)], [" ".join(own_words(rng, 400))] * 3)
+    near = " ".join(w for k, w in enumerate(words) for w in ([w, f"f{k}"] if k % 2 else [w]))
+    far = " ".join(w for k, w in enumerate(words) for w in [w, *[f"f{k}_{j}" for j in range(5)]])
+    assert found_items(block, near) == {0} and found_items(block, far) == set()
+
+
 def test_each_region_is_checked_with_its_own_answer():
     words = [f"v{k}" for k in range(40)]
     item = " ".join(words[:32]) + ". " + " ".join(words[32:])

@@ -1,26 +1,26 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 The benchmark is a query set that is held against all rows, in blocks of
-bounded size.  For each block:
+bounded size (one block for the given tables).  For each block:
 
 1. *Passages*: documents are cut into passages of ``PASSAGE`` words (letters and
    digits, case aside).  Terms are the words of the block's items; one pass over
    all documents gives every term's passage frequency and, in the same pass, a
    randomised sketch of the passages' term-by-term matrix, summed by term.
-2. *SVD*: the sketch gives the leading singular directions of the TF-IDF
-   passages (randomised SVD in Nystrom form, one pass).  Items are cut into
-   pieces of at most ``PASSAGE`` words; for every ``SPACE_PIECES`` pieces, their
-   own TF-IDF rows and the corpus directions span a search space.  The driver's
-   matrices have a row for each term or piece of the block.
-3. *Search*: every run of three half passages, in steps of half a passage, is
-   projected on them; its product with a piece is the squared TF-IDF weight of
-   their common words.  As much as the commonest words that make up ``LIKELY`` of
-   the piece weigh (less is not possible for a copy that keeps so many words
-   within ``PASSAGE`` words) makes the whole item a candidate, however long the
-   item or large the table is.
+2. *SVD*: the sketch gives the ``RANK`` leading singular directions of the TF-IDF
+   passages (randomised SVD in Nystrom form, one pass), the latent space.  Items
+   are cut into pieces of at most ``PASSAGE`` words and projected into it.
+3. *Search*: every run of three half passages, in steps of half a passage and
+   each word counted once a half, is projected as well; a cosine of ``COSINE``
+   with a piece makes the item a candidate there.  A piece that keeps less than
+   ``KEPT`` of its squared weight in the space cannot be told apart in it and
+   goes the exact way instead, by its rarest words: of a copy's words so many
+   must be among them that two neighbouring stretches of ``REACH`` words hold
+   that number, or the copy is too short to count.
 4. *Check*: the longest common subsequence of item and document around the
-   candidate.  A share of ``CERTAIN`` of the item's words, or of ``LIKELY``
-   with ``ANSWER`` of its answer (its last sentence), is contamination.
+   candidate, within as many words as the item has over ``LIKELY``.  A share of
+   ``CERTAIN`` of the item's words, or of ``LIKELY`` with ``ANSWER`` of its answer
+   (its last sentence) in the same stretch, is contamination.
 
 Defined cases: null and empty texts and items have no words and match nothing;
 a row without id is searched like any other and reported with a null id; equal
@@ -42,15 +42,17 @@ from textmine.llm.common import read_table
 from textmine.llm.wordhash import LOWER, PUNCTUATION, text_slices, word_hashes
 
 PASSAGE = 32
-RUN = PASSAGE + PASSAGE // 2
-CORPUS_RANK = 32   # directions of the search space from the corpus, besides those of all items
-SPACE_PIECES = 256 # pieces of items in one search space
+RANK = 32          # directions of the latent space
 EXTRA = 16         # oversampling of the randomised SVD
-LEFT_OUT = 0.2     # of a piece's bound, in commonest words that are not projected
+KEPT = 0.5         # share of its squared weight that a piece must keep to be searched in the space
+COSINE = 0.5       # of a run with a piece, in the space
+COMMON = 0.25      # of a piece's words, the commonest, that the exact way does not look up
 CERTAIN = 0.8
 LIKELY, ANSWER = 0.6, 0.8
-BLOCK_ITEMS = 256
-BLOCK_WORDS = 65_536
+REACH = -(-PASSAGE * 10 // 6) + 2  # words that a copy of a piece may take up
+RUN = 2 * REACH
+BLOCK_ITEMS = 4096
+BLOCK_WORDS = 131_072
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray):
@@ -78,60 +80,6 @@ def _lookup(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(terms[at] == hashes, at, -1)
 
 
-class Space:
-    """Search space of some pieces of items: projection of their terms, and the pieces in it."""
-
-    def __init__(self, pieces, idf: np.ndarray, corpus: np.ndarray):
-        self.owners = [item for item, _ in pieces]
-        terms = np.unique(np.concatenate([ids for _, ids in pieces]))
-        rows = np.zeros((len(pieces), len(terms)))
-        for r, (_, ids) in enumerate(pieces):
-            rows[r, np.searchsorted(terms, ids)] = 1.0
-        idf, corpus = idf[terms], corpus[:, terms]
-        rows = rows * idf
-        # Corpus directions and pieces get equal total weight in the space.
-        scale = np.linalg.norm(rows) / max(np.linalg.norm(corpus), 1e-12)
-        _, _, basis = np.linalg.svd(np.vstack([rows, corpus * scale]), full_matrices=False)
-        basis = basis.T  # every direction, so that no piece loses any of its length
-        # The least weight of as many words of a piece as LIKELY asks for.
-        weights = [np.sort(idf[np.searchsorted(terms, ids)] ** 2) for _, ids in pieces]
-        least = np.array([w[:max(1, int(np.ceil(LIKELY * len(w) - 1e-9)))].sum() for w in weights])
-        # The commonest terms stay out of the projection, and their weight out of
-        # the bounds, as long as no piece loses more than LEFT_OUT of its bound.
-        used = np.ones(len(terms), dtype=bool)
-        counts = np.zeros_like(rows)
-        for r, (_, ids) in enumerate(pieces):
-            np.add.at(counts[r], np.searchsorted(terms, ids), 1.0)
-        gone = np.zeros(len(pieces))
-        for term in np.argsort(idf, kind="stable"):
-            more = gone + counts[:, term] * idf[term] ** 2
-            if (more > LEFT_OUT * least).any():
-                break
-            gone, used[term] = more, False
-        self.least = ((least - gone) * (1 - 1e-4)).astype(np.float32)  # room for rounding
-        self.terms = terms[used]
-        self.project = (basis * idf[:, None])[used].astype(np.float32)
-        self.queries = (rows @ basis).astype(np.float32)
-
-    def near(self, ids: np.ndarray):
-        """(first word, piece) of all runs of three half passages of one document that reach a piece's bound."""
-        half = PASSAGE // 2
-        local = _lookup(self.terms, ids)
-        known = np.flatnonzero(local >= 0)
-        if not len(known):
-            return
-        blocks = -(-len(ids) // half)
-        sums = np.zeros((blocks, self.project.shape[1]), dtype=np.float32)
-        where = known // half
-        first = np.flatnonzero(np.diff(where, prepend=-1))
-        sums[where[first]] = np.add.reduceat(self.project[local[known]], first, axis=0)
-        # Any PASSAGE words in a row lie within one such run.
-        wide = min(RUN // half, blocks)
-        sums = sum(sums[k:blocks - wide + 1 + k] for k in range(wide))
-        for block, piece in zip(*np.nonzero(sums @ self.queries.T >= self.least), strict=True):
-            yield int(block) * half, int(piece)
-
-
 class Block:
     """Items of one block: words, terms, and after ``fit`` the projection."""
 
@@ -144,7 +92,7 @@ class Block:
         self.masks = [self._masks(i) for i in self.items]
         self.answer_masks = [self._masks(a) for a in self.answers]
         rng = np.random.default_rng(6)
-        self.test = rng.standard_normal((len(self.terms), CORPUS_RANK + EXTRA)).astype(np.float32)
+        self.test = rng.standard_normal((len(self.terms), RANK + EXTRA)).astype(np.float32)
 
     @staticmethod
     def _masks(ids: np.ndarray) -> dict[int, int]:
@@ -161,40 +109,116 @@ class Block:
         core = self.test.T @ sketch
         values, vectors = np.linalg.eigh((core + core.T) / 2)
         keep = values > max(values.max(initial=0.0), 1e-12) * 1e-9
-        corpus, strength, _ = np.linalg.svd(image @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
-        corpus = (corpus * strength)[:, :CORPUS_RANK].T
+        space, _, _ = np.linalg.svd(image @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
+        space = space[:, :RANK]
         pieces = [(item, piece) for item, ids in enumerate(self.items) if len(ids)
                   for piece in np.array_split(ids, -(-len(ids) // PASSAGE))]
-        self.spaces = [Space(pieces[k:k + SPACE_PIECES], idf, corpus) for k in range(0, len(pieces), SPACE_PIECES)]
+        self.owner = np.array([item for item, _ in pieces], dtype=np.int64)
+        self.reach = np.array([-(-len(ids) * 10 // 6) for ids in self.items], dtype=np.int64)
+        queries, latent, postings, self.need = [], [], [], np.zeros(len(pieces), dtype=np.int64)
+        for number, (item, ids) in enumerate(pieces):
+            words, often = np.unique(ids, return_counts=True)
+            query = space[words].T @ idf[words]
+            if query @ query >= KEPT * (idf[words] ** 2).sum():
+                queries.append(query / np.linalg.norm(query))
+                latent.append(number)
+                continue
+            order = np.argsort(idf[words], kind="stable")
+            rare = order[np.cumsum(often[order]) > COMMON * len(ids)]
+            # A copy that is spread unevenly over the pieces of its item has half of some piece.
+            asked = -(-len(ids) * (6 if len(ids) == len(self.items[item]) else 5) // 10)
+            self.need[number] = max(1, asked - (len(ids) - often[rare].sum()))
+            postings.append(np.stack([words[rare], np.full(len(rare), number)], axis=1))
+        self.latent = np.array(latent, dtype=np.int64)
+        self.queries = np.array(queries, dtype=np.float32).reshape(len(queries), space.shape[1])
+        self.project = (space * idf[:, None]).astype(np.float32)
+        flat = np.concatenate([*postings, np.zeros((0, 2), dtype=np.int64)])
+        flat = flat[np.argsort(flat[:, 0], kind="stable")]
+        self.posted = flat[:, 1]
+        self.posted_at = np.searchsorted(flat[:, 0], np.arange(len(self.terms) + 1))
         self.test = None
 
-    def candidates(self, ids: np.ndarray) -> dict[int, list[int]]:
-        """Item -> first words, ascending, of the runs of one document that come near one of its pieces."""
-        out: dict[int, set[int]] = {}
-        if (ids >= 0).any():
-            for space in self.spaces:
-                for start, piece in space.near(ids):
-                    out.setdefault(space.owners[piece], set()).add(start)
-        return {item: sorted(starts) for item, starts in out.items()}
-
-    def matches(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, common words, common words of the answer) of the contaminating items."""
+    def _rare_words(self, ids: np.ndarray, bounds: np.ndarray):
+        """(row, first word, piece) where two neighbouring stretches hold enough rare words of a piece."""
+        at = np.flatnonzero(ids >= 0)
+        first = self.posted_at[ids[at]]
+        many = self.posted_at[ids[at] + 1] - first
+        at, first, many = at[many > 0], first[many > 0], many[many > 0]
+        if not len(at):
+            return
+        ends = np.cumsum(many)
+        piece = self.posted[np.arange(ends[-1]) + np.repeat(first - ends + many, many)]
+        row = np.searchsorted(bounds, at, side="right") - 1
+        base = np.concatenate([[0], np.cumsum(-(-np.diff(bounds) // REACH) + 1)])  # an empty stretch between rows
+        stretch = base[row] + (at - bounds[row]) // REACH
+        key, n = np.unique(piece * base[-1] + np.repeat(stretch, many), return_counts=True)
+        n[:-1] += np.where(np.diff(key) == 1, n[1:], 0)
+        piece, stretch = np.divmod(key, base[-1])
+        found = np.flatnonzero(n >= self.need[piece])
+        row = np.searchsorted(base, stretch[found], side="right") - 1
+        yield from zip(row.tolist(), ((stretch[found] - base[row]) * REACH).tolist(), piece[found].tolist(), strict=True)
+
+    def _near(self, ids: np.ndarray, bounds: np.ndarray):
+        """(row, first word, piece) of the runs of three half passages that lie near a piece in the latent space."""
+        at = np.flatnonzero(ids >= 0)
+        if not len(self.latent) or not len(at):
+            return
+        half = PASSAGE // 2
+        row = np.searchsorted(bounds, at, side="right") - 1
+        base = np.concatenate([[0], np.cumsum(-(-np.diff(bounds) // half) + 2)])  # two empty halves between rows
+        block, term = np.divmod(np.unique((base[row] + (at - bounds[row]) // half) * len(self.terms) + ids[at]), len(self.terms))
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        sums = np.zeros((base[-1] + 2, self.project.shape[1]), dtype=np.float32)
+        sums[block[first]] = np.add.reduceat(self.project[term], first, axis=0)
+        sums = sums[:-2] + sums[1:-1] + sums[2:]
+        some = np.flatnonzero((sums != 0).any(axis=1))
+        for start in range(0, len(some), 4096):
+            part = some[start:start + 4096]
+            cosine = (sums[part] / np.linalg.norm(sums[part], axis=1, keepdims=True)) @ self.queries.T
+            run, query = np.nonzero(cosine >= COSINE)
+            row = np.searchsorted(base, part[run], side="right") - 1
+            where = np.minimum(part[run] - base[row], np.maximum(-(-np.diff(bounds)[row] // half) - 1, 0)) * half
+            yield from zip(row.tolist(), where.tolist(), self.latent[query].tolist(), strict=True)
+
+    def candidates(self, ids: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """(row, item) -> first words, ascending, of the runs that come near one of the item's pieces."""
+        out: dict[tuple[int, int], set[int]] = {}
+        for way in (self._rare_words, self._near):
+            for row, start, piece in way(ids, bounds):
+                out.setdefault((row, int(self.owner[piece])), set()).add(start)
+        return {key: sorted(starts) for key, starts in sorted(out.items())}
+
+    def matches(self, ids: np.ndarray, bounds: np.ndarray | None = None) -> list[tuple[int, ...]]:
+        """(item, common words, common words of the answer) of the contaminating items, behind the row where there are bounds."""
         out = []
-        for item, starts in self.candidates(ids).items():
-            n = len(self.items[item])
-            best = None
-            for a, b in _regions(starts, n, len(ids)):
-                region = ids[a:b].tolist()
-                found = _common(self.masks[item], n, region)
-                if found < LIKELY * n:
-                    continue
-                answer = _common(self.answer_masks[item], len(self.answers[item]), region)
-                if found >= CERTAIN * n or answer >= ANSWER * len(self.answers[item]):
-                    best = max(best or (0, 0), (found, answer))
-            if best:
-                out.append((item, *best))
+        spans = np.array([0, len(ids)]) if bounds is None else bounds
+        for (row, item), starts in self.candidates(ids, spans).items():
+            own = ids[spans[row]:spans[row + 1]]
+            found = [m for a, b in _regions(starts, int(self.reach[item]), len(own)) if (m := self._checked(item, own[a:b].tolist()))]
+            if found:
+                out.append((item, *max(found)) if bounds is None else (row, item, *max(found)))
         return out
 
+    def _checked(self, item: int, region: list[int]) -> tuple[int, int] | None:
+        """Best (common, answer) of the region's stretches that contaminate, or none."""
+        n, masks = len(self.items[item]), self.masks[item]
+        if _common(masks, n, region) < LIKELY * n:
+            return None
+        step = max(1, n // 32)  # long items: stretches a little longer, in steps
+        width = int(self.reach[item]) + step - 1
+        best = None
+        for a in range(0, max(1, len(region) - int(LIKELY * n) + step), step):
+            stretch = region[a:a + width]
+            if step == 1 and stretch[:1] and stretch[0] not in masks:
+                continue  # a best stretch starts with a word of the item
+            found = _common(masks, n, stretch)
+            if found < LIKELY * n:
+                continue
+            answer = _common(self.answer_masks[item], len(self.answers[item]), stretch)
+            if found >= CERTAIN * n or answer >= ANSWER * len(self.answers[item]):
+                best = max(best or (0, 0), (found, answer))
+        return best
+
 
 def _regions(starts: list[int], around: int, n: int) -> list[tuple[int, int]]:
     """Surroundings of candidate runs; touching runs share one, not much longer than item and run."""
@@ -282,7 +306,7 @@ def fitted_blocks(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
         block = Block(rows)
         if not len(block.terms):
             continue
-        width = CORPUS_RANK + EXTRA
+        width = RANK + EXTRA
         sent = spark.sparkContext.broadcast(block)
         sums = _sketch(docs.select(F.col(text).alias("text")), sent, width).groupBy("term").agg(
             F.sum("frequency").alias("frequency"), *[F.sum(f"c{c}").alias(f"c{c}") for c in range(width)])
@@ -301,9 +325,8 @@ def _batch_matches(block: Block, col: pa.Array):
     for a, b, data, offsets in text_slices(col):
         hashes, bounds = _tokens(data, offsets)
         ids = _lookup(block.terms, hashes)
-        for r in range(b - a):
-            for found in block.matches(ids[bounds[r]:bounds[r + 1]]):
-                yield a + r, *found
+        for row, *found in block.matches(ids, bounds):
+            yield a + row, *found
 
 
 def search(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmine.llm.common import read_table, staged
+from textmine.llm.common import read_table, staged, words
 from textmine.llm.components import connected_components
 from textmine.llm.wordhash import WINDOW_BASE, mix, text_slices, window_hashes, word_hashes
 
@@ -257,11 +257,14 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """The rows of ``df``, all columns, that represent their class: one for each class.
 
-    Rows without id all stay.
+    Rows without id all stay.  Of several rows with one id the one stays whose
+    words have the smallest digest, by which ``join`` has put the id in its class.
     """
     classes = join(df, key, text, **params)
     keep = staged(classes.filter(F.col(key) == F.col("class_id")).select(key).distinct(), "jaccard-keep")
-    kept = df.join(keep, key, "left_semi").dropDuplicates([key])
+    digest = F.sha2(F.array_join(words(F.col(text)), " ").cast("binary"), 256)
+    kept = df.join(keep, key, "left_semi").groupBy(F.col(key).alias("k")).agg(
+        F.min_by(F.struct(*df.columns), F.struct(digest, F.col(text))).alias("row")).select("row.*")
     return kept.unionByName(df.filter(F.col(key).isNull()))
 
 

@@ -126,10 +126,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """Raw-content dictionary: equal shares, from the middle, of the sample texts, so every kind of text is in it."""
-    share = max(64, size // max(1, len(texts)))
-    parts = [t[max(0, (len(t) - share) // 2):][:share] for t in texts]
-    return b"\n".join(parts)[:size]
+    """Raw-content dictionary: equal shares, from the middle, of all sample texts; what short texts leave goes to the others."""
+    parts, left = [], size
+    for k, t in enumerate(sorted(texts, key=len)):
+        share = max(1, left // (len(texts) - k) - 1)
+        parts.append(t[max(0, (len(t) - share) // 2):][:share])
+        left -= len(parts[-1]) + 1
+    return b"\n".join(parts)
 
 
 def fit(rows: list, sizes: dict | None = None, dict_bytes: int = DICT_BYTES) -> Model:

@@ -117,7 +117,8 @@ def findings(versions: DataFrame, ledger: DataFrame, key: str = "doc_id", text:
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     paths = versions.select(F.col(key), blob_of(F.col(text)).alias("blob"))
     # Most blobs are clean, so only those with findings take part in the join.
-    dirty = ledger.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
+    # A pair that two writers have appended counts once: its spans are the same.
+    dirty = ledger.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
     return paths.join(dirty, "blob", "left").select(key, "blob", F.coalesce("spans", none).alias("spans"))
 
 
@@ -130,7 +131,7 @@ def _joined(spans: Column, kinds) -> Column:
 def redact(df: DataFrame, ledger: DataFrame, text: str = "text", mark: str = "[SECRET]",
            rule_version: str = RULE_VERSION) -> DataFrame:
     """The rows of ``df`` with every found span replaced by ``mark``; overlapping spans become one."""
-    dirty = ledger.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0))
+    dirty = ledger.filter((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).dropDuplicates(["blob"])
     spans = dirty.select("blob", F.posexplode("spans").alias("i", "s")).select("blob", "i", "s.start", "s.end")
     before = Window.partitionBy("blob").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("reach", F.coalesce(F.max("end").over(before), F.lit(-1)))
