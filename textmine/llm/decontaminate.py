@@ -13,10 +13,10 @@ bounded size (one block for the given tables).  For each block:
 3. *Search*: every run of three half passages, in steps of half a passage and
    each word counted once a half, is projected as well; a cosine of ``COSINE``
    with a piece makes the item a candidate there.  A piece that keeps less than
-   ``KEPT`` of its squared weight in the space cannot be told apart in it and
-   goes the exact way instead, by its rarest words: of a copy's words so many
-   must be among them that two neighbouring stretches of ``REACH`` words hold
-   that number, or the copy is too short to count.
+   ``KEPT`` of its squared weight in the space cannot be told apart in it; its
+   item goes the exact way instead, by its rarer words: all but the commonest
+   ``COMMON`` of its words are looked up, and of a copy with ``LIKELY`` of the item
+   so many must be among them within as many words as step 4 allows.
 4. *Check*: the longest common subsequence of item and document around the
    candidate, within as many words as the item has over ``LIKELY``.  A share of
    ``CERTAIN`` of the item's words, or of ``LIKELY`` with ``ANSWER`` of its answer
@@ -46,11 +46,11 @@ RANK = 32          # directions of the latent space
 EXTRA = 16         # oversampling of the randomised SVD
 KEPT = 0.5         # share of its squared weight that a piece must keep to be searched in the space
 COSINE = 0.5       # of a run with a piece, in the space
-COMMON = 0.25      # of a piece's words, the commonest, that the exact way does not look up
+COMMON = 0.25      # of an item's words, the commonest, that the exact way does not look up
 CERTAIN = 0.8
 LIKELY, ANSWER = 0.6, 0.8
-REACH = -(-PASSAGE * 10 // 6) + 2  # words that a copy of a piece may take up
-RUN = 2 * REACH
+RUN = PASSAGE + PASSAGE // 2
+STRETCHES = 4      # parts of an item's reach by which its rarer words are counted
 BLOCK_ITEMS = 4096
 BLOCK_WORDS = 131_072
 
@@ -115,20 +115,25 @@ class Block:
                   for piece in np.array_split(ids, -(-len(ids) // PASSAGE))]
         self.owner = np.array([item for item, _ in pieces], dtype=np.int64)
         self.reach = np.array([-(-len(ids) * 10 // 6) for ids in self.items], dtype=np.int64)
-        queries, latent, postings, self.need = [], [], [], np.zeros(len(pieces), dtype=np.int64)
+        queries, latent, lost, postings = [], [], set(), []
         for number, (item, ids) in enumerate(pieces):
-            words, often = np.unique(ids, return_counts=True)
+            words = np.unique(ids)
             query = space[words].T @ idf[words]
             if query @ query >= KEPT * (idf[words] ** 2).sum():
                 queries.append(query / np.linalg.norm(query))
                 latent.append(number)
-                continue
+            else:
+                lost.add(item)
+        # Words that a stretch must hold, and the length of its parts: a copy lies within STRETCHES + 1 of them.
+        self.need = np.zeros(len(self.items), dtype=np.int64)
+        self.part = np.maximum(1, -(-(self.reach + 1) // STRETCHES))
+        for item in sorted(lost):
+            ids = self.items[item]
+            words, often = np.unique(ids, return_counts=True)
             order = np.argsort(idf[words], kind="stable")
             rare = order[np.cumsum(often[order]) > COMMON * len(ids)]
-            # A copy that is spread unevenly over the pieces of its item has half of some piece.
-            asked = -(-len(ids) * (6 if len(ids) == len(self.items[item]) else 5) // 10)
-            self.need[number] = max(1, asked - (len(ids) - often[rare].sum()))
-            postings.append(np.stack([words[rare], np.full(len(rare), number)], axis=1))
+            self.need[item] = max(1, -(-len(ids) * 6 // 10) - (len(ids) - often[rare].sum()))
+            postings.append(np.stack([words[rare], np.full(len(rare), item)], axis=1))
         self.latent = np.array(latent, dtype=np.int64)
         self.queries = np.array(queries, dtype=np.float32).reshape(len(queries), space.shape[1])
         self.project = (space * idf[:, None]).astype(np.float32)
@@ -139,7 +144,7 @@ class Block:
         self.test = None
 
     def _rare_words(self, ids: np.ndarray, bounds: np.ndarray):
-        """(row, first word, piece) where two neighbouring stretches hold enough rare words of a piece."""
+        """(row, first word, words, item) of the stretches that hold enough rarer words of an item."""
         at = np.flatnonzero(ids >= 0)
         first = self.posted_at[ids[at]]
         many = self.posted_at[ids[at] + 1] - first
@@ -147,19 +152,24 @@ class Block:
         if not len(at):
             return
         ends = np.cumsum(many)
-        piece = self.posted[np.arange(ends[-1]) + np.repeat(first - ends + many, many)]
+        item = self.posted[np.arange(ends[-1]) + np.repeat(first - ends + many, many)]
         row = np.searchsorted(bounds, at, side="right") - 1
-        base = np.concatenate([[0], np.cumsum(-(-np.diff(bounds) // REACH) + 1)])  # an empty stretch between rows
-        stretch = base[row] + (at - bounds[row]) // REACH
-        key, n = np.unique(piece * base[-1] + np.repeat(stretch, many), return_counts=True)
-        n[:-1] += np.where(np.diff(key) == 1, n[1:], 0)
-        piece, stretch = np.divmod(key, base[-1])
-        found = np.flatnonzero(n >= self.need[piece])
-        row = np.searchsorted(base, stretch[found], side="right") - 1
-        yield from zip(row.tolist(), ((stretch[found] - base[row]) * REACH).tolist(), piece[found].tolist(), strict=True)
+        apart = (STRETCHES + 2) * int(self.part.max())  # so that no stretch reaches into the next row
+        place = at + row * apart
+        size = int(place[-1]) + 1
+        key, n = np.unique(item * size + np.repeat(place, many) // self.part[item], return_counts=True)
+        total = np.concatenate([[0], np.cumsum(n)])
+        item = key // size
+        inside = total[np.searchsorted(key, key + STRETCHES, side="right")] - total[:-1]
+        found = np.flatnonzero(inside >= self.need[item])
+        item = item[found]
+        start = (key[found] - item * size) * self.part[item]
+        row = np.searchsorted(bounds[:-1] + np.arange(len(bounds) - 1) * apart, start + self.part[item] - 1, side="right") - 1
+        first = np.maximum(start - bounds[row] - row * apart, 0)
+        yield from zip(row.tolist(), first.tolist(), ((STRETCHES + 1) * self.part[item]).tolist(), item.tolist(), strict=True)
 
     def _near(self, ids: np.ndarray, bounds: np.ndarray):
-        """(row, first word, piece) of the runs of three half passages that lie near a piece in the latent space."""
+        """(row, first word, words, item) of the runs of three half passages that lie near a piece in the latent space."""
         at = np.flatnonzero(ids >= 0)
         if not len(self.latent) or not len(at):
             return
@@ -178,15 +188,15 @@ class Block:
             run, query = np.nonzero(cosine >= COSINE)
             row = np.searchsorted(base, part[run], side="right") - 1
             where = np.minimum(part[run] - base[row], np.maximum(-(-np.diff(bounds)[row] // half) - 1, 0)) * half
-            yield from zip(row.tolist(), where.tolist(), self.latent[query].tolist(), strict=True)
+            yield from zip(row.tolist(), where.tolist(), [RUN] * len(row), self.owner[self.latent[query]].tolist(), strict=True)
 
-    def candidates(self, ids: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], list[int]]:
-        """(row, item) -> first words, ascending, of the runs that come near one of the item's pieces."""
-        out: dict[tuple[int, int], set[int]] = {}
+    def candidates(self, ids: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """(row, item) -> (first word, words) of the stretches that come near the item, ascending."""
+        out: dict[tuple[int, int], set] = {}
         for way in (self._rare_words, self._near):
-            for row, start, piece in way(ids, bounds):
-                out.setdefault((row, int(self.owner[piece])), set()).add(start)
-        return {key: sorted(starts) for key, starts in sorted(out.items())}
+            for row, start, words, item in way(ids, bounds):
+                out.setdefault((row, item), set()).add((start, words))
+        return {key: sorted(found) for key, found in sorted(out.items())}
 
     def matches(self, ids: np.ndarray, bounds: np.ndarray | None = None) -> list[tuple[int, ...]]:
         """(item, common words, common words of the answer) of the contaminating items, behind the row where there are bounds."""
@@ -220,15 +230,15 @@ class Block:
         return best
 
 
-def _regions(starts: list[int], around: int, n: int) -> list[tuple[int, int]]:
-    """Surroundings of candidate runs; touching runs share one, not much longer than item and run."""
+def _regions(found: list[tuple[int, int]], around: int, n: int) -> list[tuple[int, int]]:
+    """Surroundings of candidate stretches; touching ones share one, not much longer than item and stretch."""
     out = []
-    for s in starts:
-        a, b = max(0, s - around), min(n, s + RUN + around)
-        if out and s <= out[-1][2] + RUN and b - out[-1][0] <= 2 * around + 2 * RUN:
-            out[-1] = (out[-1][0], b, s)
+    for start, words in found:
+        a, b = max(0, start - around), min(n, start + words + around)
+        if out and start <= out[-1][2] + words and b - out[-1][0] <= 2 * around + 2 * words:
+            out[-1] = (out[-1][0], b, start)
         else:
-            out.append((a, b, s))
+            out.append((a, b, start))
     return [(a, b) for a, b, _ in out]
 
 
