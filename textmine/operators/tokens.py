@@ -8,7 +8,7 @@ produced by ``explode_tokens`` as late as possible.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmine.functions.text import (
@@ -234,40 +234,37 @@ def tag_negation(df: DataFrame, id_col="doc_id", tokens_col="tokens", patterns=N
     """B9 window negation tagging; returns long tokens ``(doc_id, pos, term)``.
 
     A match of m negator words at p covers p..p+m and opens the span
-    p..p+m+window.  Span membership is a running maximum of span ends over
-    the document's positions (one window, partitioned by document).
-    mode='window': tokens inside a span and outside any match get
-    ``suffix``.  mode='corpus': the set of such terms is collected over the
-    whole corpus and every span token whose term is in the set is tagged.
+    p..p+m+window.  The furthest match end among the positions that can still
+    reach a token is a sliding maximum, taken inside the token array by doubling
+    shifted copies; a token is in a span when that end is at most ``window``
+    before it, and in a match when it is not before it.
+    mode='window': tokens inside a span and outside any match get ``suffix``;
+    nothing is shuffled.  mode='corpus': the set of such terms is collected over
+    the whole corpus and every span token whose term is in the set is tagged.
     """
+    if mode not in ("corpus", "window"):
+        raise ValueError("mode must be 'corpus' or 'window'")
     st = negation_starts(df.select(id_col, tokens_col), tokens_col, patterns)
-    has = F.exists("_starts", lambda m: m >= 0)
-    # one shuffle by document: the window below needs it, and both branches
-    # (documents with / without a match) read the same reused exchange, so
-    # tokenization and match search run once
-    st = st.withColumn("_has", has).repartition(id_col)
-    long = posexplode1(st, F.arrays_zip(F.col(tokens_col).alias("t"), F.col("_starts").alias("m")),
-                       [id_col, "_has"], "pos", "z").select(id_col, "_has", "pos", F.col("z.t").alias("term"),
-                                                           F.col("z.m").alias("m"))
-    plain = long.filter(~F.col("_has")).select(id_col, "pos", "term")
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    neg = (long.filter(F.col("_has"))
-           .withColumn("_span_end", F.max(F.when(F.col("m") >= 0, F.col("pos") + F.col("m") + window)).over(w))
-           .withColumn("_match_end", F.max(F.when(F.col("m") >= 0, F.col("pos") + F.col("m"))).over(w))
-           .withColumn("in_span", F.coalesce(F.col("_span_end") >= F.col("pos"), F.lit(False)))
-           .withColumn("is_match", F.coalesce(F.col("_match_end") >= F.col("pos"), F.lit(False))))
+    reach = window + max(len(p) for p in _parse_patterns(patterns)) + 1
+    ends = F.transform("_starts", lambda m, i: F.when(m >= 0, i + m).otherwise(F.lit(-1 - reach)))
+    st = st.withColumn("_ends", F.when(F.exists("_starts", lambda m: m >= 0), ends)).drop("_starts")
+    covered = 1  # positions that the maximum covers so far
+    while covered < reach:
+        by = min(covered, reach - covered)
+        shifted = F.concat(F.array_repeat(F.lit(-1 - reach), by), "_ends")
+        st = st.withColumn("_ends", F.zip_with("_ends", F.slice(shifted, F.lit(1), F.size("_ends")), lambda x, y: F.greatest(x, y)))
+        covered += by
+    if mode == "corpus":
+        st = st.repartition(id_col)  # both branches below read this exchange: one scan, one tokenisation
+    long = posexplode1(st, F.arrays_zip(F.col(tokens_col).alias("t"), F.coalesce("_ends", F.array().cast("array<int>")).alias("e")),
+                       [id_col], "pos", "z").select(id_col, "pos", F.col("z.t").alias("term"), F.col("z.e").alias("e"))
+    in_span = F.coalesce(F.col("e") + window >= F.col("pos") - 1, F.lit(False))
+    is_match = F.coalesce(F.col("e") >= F.col("pos") - 1, F.lit(False))
+    tagged = F.concat(F.col("term"), F.lit(suffix))
     if mode == "window":
-        tagged = neg.select(id_col, "pos", F.when(F.col("in_span") & ~F.col("is_match"),
-                                                  F.concat(F.col("term"), F.lit(suffix)))
-                            .otherwise(F.col("term")).alias("term"))
-        return plain.unionByName(tagged)
-    if mode != "corpus":
-        raise ValueError("mode must be 'corpus' or 'window'")
-    span = neg.filter("in_span")
-    tagset = span.filter(~F.col("is_match")).select(F.col("term").alias("_t")).distinct() \
-                 .withColumn("_hit", F.lit(True))
-    tagged = (span.join(tagset, F.col("term") == F.col("_t"), "left")
-              .select(id_col, "pos", F.when(F.col("_hit"), F.concat(F.col("term"), F.lit(suffix)))
-                      .otherwise(F.col("term")).alias("term")))
-    rest = neg.filter(~F.col("in_span")).select(id_col, "pos", "term")
-    return plain.unionByName(rest).unionByName(tagged)
+        return long.select(id_col, "pos", F.when(in_span & ~is_match, tagged).otherwise(F.col("term")).alias("term"))
+    span = long.filter(in_span)
+    tagset = span.filter(~is_match).select(F.col("term").alias("_t")).distinct().withColumn("_hit", F.lit(True))
+    span = span.join(tagset, F.col("term") == F.col("_t"), "left").select(
+        id_col, "pos", F.when(F.col("_hit"), tagged).otherwise(F.col("term")).alias("term"))
+    return long.filter(~in_span).select(id_col, "pos", "term").unionByName(span)

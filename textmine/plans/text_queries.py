@@ -149,7 +149,7 @@ def q_keep_tokens(spark, sf_dir):
 def _neg_sql(mode: str, w=NEGATION_WINDOW, toks_sql=SQL_BASE_TOKS) -> str:
     """Negation twin over a narrow token table ``toks_sql(doc_id, tokens)``."""
     pats = tk._parse_patterns(NEGATION_PATTERNS)
-    t = f"t AS ({S.explode(toks_sql, 'tokens')})"
+    t = f"t AS MATERIALIZED ({S.explode(toks_sql, 'tokens')})"
     sels = []
     for words in pats:
         m = len(words)
@@ -160,15 +160,17 @@ def _neg_sql(mode: str, w=NEGATION_WINDOW, toks_sql=SQL_BASE_TOKS) -> str:
                          else f"lower(t{j}.term) = {sql_str(g)}")
         sels.append(f"SELECT t0.doc_id, t0.pos AS p, {m} AS m FROM t t0 {joins} WHERE {' AND '.join(conds)}")
     mt = f"mt AS (SELECT doc_id, p, max(m) AS m FROM ({' UNION ALL '.join(sels)}) GROUP BY ALL)"
-    fl = (f"fl AS (SELECT t.doc_id, t.pos, t.term, "
-          f"EXISTS (SELECT 1 FROM mt WHERE mt.doc_id = t.doc_id AND t.pos BETWEEN mt.p AND mt.p + mt.m + {w}) AS in_span, "
-          f"EXISTS (SELECT 1 FROM mt WHERE mt.doc_id = t.doc_id AND t.pos BETWEEN mt.p AND mt.p + mt.m) AS is_match FROM t)")
+    # The furthest end of a match that starts at or before a token.
+    ends = ("fe AS (SELECT t.doc_id, t.pos, t.term, max(mt.p + mt.m) OVER (PARTITION BY t.doc_id ORDER BY t.pos) AS e "
+            "FROM t LEFT JOIN mt ON mt.doc_id = t.doc_id AND mt.p = t.pos)")
+    fl = (f"fl AS MATERIALIZED (SELECT doc_id, pos, term, coalesce(e + {w} >= pos, false) AS in_span, "
+          f"coalesce(e >= pos, false) AS is_match FROM fe)")
     if mode == "window":
         tail = "SELECT doc_id, pos, CASE WHEN in_span AND NOT is_match THEN term || '_neg' ELSE term END AS term FROM fl"
     else:
-        tail = ("SELECT doc_id, pos, CASE WHEN in_span AND term IN (SELECT term FROM fl WHERE in_span AND NOT is_match) "
-                "THEN term || '_neg' ELSE term END AS term FROM fl")
-    return f"WITH {t}, {mt}, {fl} {tail}"
+        tail = ("SELECT fl.doc_id, fl.pos, CASE WHEN fl.in_span AND tags.term IS NOT NULL THEN fl.term || '_neg' ELSE fl.term END AS term "
+                "FROM fl LEFT JOIN (SELECT DISTINCT term FROM fl WHERE in_span AND NOT is_match) tags ON tags.term = fl.term")
+    return f"WITH {t}, {mt}, {ends}, {fl} {tail}"
 
 
 @query("negation_window", _neg_sql("window"))
