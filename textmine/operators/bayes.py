@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmine.functions.text import array_lit
+from textmine.operators.features import tf_log, top_k
 from textmine.operators.util import class_values, safe_ln, scalar
 
 
@@ -135,3 +136,76 @@ def nb_cross_validate(counts: DataFrame, docs: DataFrame, folds: DataFrame, smoo
                              _argmax(scores, [F.col(f"prior{i}") for i in L], classes).alias("predicted")))
     res = test.select("repeat", "fold", "doc_id", "actual", F.explode(F.array(*outs)).alias("o"))
     return res.select("repeat", "o.smoothing", "fold", "doc_id", "actual", "o.predicted")
+
+
+# ------------------------------------------------- selection on training folds
+def _by_class(classes: list, value, prefix: str) -> list:
+    return [F.sum(F.when(F.col("label") == F.lit(c), value).otherwise(0)).alias(f"{prefix}{i}") for i, c in enumerate(classes)]
+
+
+def train_fold_vocabulary(counts: DataFrame, docs: DataFrame, folds: DataFrame, classes: list, k=1000) -> DataFrame:
+    """D7 per fold: ``(repeat, fold, feature)``, the per-class top k (ties kept) by
+    the tf-idf of the documents outside the fold.
+
+    Document frequencies and class sums of the other folds are total - fold, so
+    the cells are aggregated twice, whatever the number of folds; idf, too,
+    knows the training documents only.  All (repeat, fold, class) groups are
+    ranked in one plan by counted values, without a task per group."""
+    each = range(len(classes))
+    stats = [F.count(F.lit(1)).alias("df"), *_by_class(classes, tf_log(F.col("n")), "tf"), *_by_class(classes, F.lit(1), "in")]
+    total = counts.groupBy("feature").agg(*stats)
+    inside = counts.join(folds, "doc_id").groupBy("repeat", "fold", "feature").agg(*stats)
+    inside = inside.select("repeat", "fold", "feature", F.col("df").alias("df_"),
+                           *[F.col(f"{p}{i}").alias(f"{p}{i}_") for p in ("tf", "in") for i in each])
+    n = docs.count()
+    # One entry a fold: repeats x folds entries, written into the plan.
+    sizes = docs.select("doc_id").join(folds, "doc_id").groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("n")).collect()
+    held = F.array(*[F.struct(F.lit(r["repeat"]).alias("repeat"), F.lit(r["fold"]).alias("fold"), F.lit(n - r["n"]).alias("n_train"))
+                     for r in sizes])
+    grid = total.withColumn("f", F.explode(held)).select("*", "f.*").drop("f").join(inside, ["repeat", "fold", "feature"], "left")
+
+    def rest(name):
+        return F.col(name) - F.coalesce(F.col(name + "_"), F.lit(0))
+
+    idf = F.log10(F.col("n_train") / rest("df"))
+    cells = F.array(*[F.struct(F.lit(c).alias("label"), rest(f"in{i}").alias("docs"), (rest(f"tf{i}") * idf).alias("frequency"))
+                      for i, c in enumerate(classes)])
+    freq = grid.filter(rest("df") > 0).select("repeat", "fold", "feature", F.explode(cells).alias("c")).select(
+        "repeat", "fold", "feature", "c.label", "c.docs", "c.frequency").filter("docs > 0").drop("docs")
+    return top_k(freq, ["repeat", "fold", "label"], k).select("repeat", "fold", "feature").distinct()
+
+
+def nb_cross_validate_selected(counts: DataFrame, docs: DataFrame, folds: DataFrame, selected: DataFrame, smoothings=(1.0,),
+                               classes=None) -> DataFrame:
+    """K5 with a vocabulary of its own in every fold, ``selected(repeat, fold, feature)``.
+
+    As ``nb_cross_validate``: training counts are total - fold; class totals and
+    the vocabulary's size are summed over the fold's features."""
+    classes = classes or class_values(docs)
+    each = range(len(classes))
+    with_fold = counts.select("doc_id", "label", "feature", "n").join(folds, "doc_id")
+    total = counts.groupBy("feature").agg(*_by_class(classes, F.col("n"), "ct"))
+    inside = with_fold.groupBy("repeat", "fold", "feature").agg(*_by_class(classes, F.col("n"), "cf"))
+    trained = selected.join(total, "feature").join(inside, ["repeat", "fold", "feature"], "left").select(
+        "repeat", "fold", "feature", *[(F.col(f"ct{i}") - F.coalesce(F.col(f"cf{i}"), F.lit(0))).alias(f"n{i}") for i in each])
+    sizes = trained.groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"n{i}").alias(f"t{i}") for i in each])
+
+    own = docs.select("doc_id", "label").join(folds, "doc_id")
+    all_docs = docs.agg(*_by_class(classes, F.lit(1), "na")).first()
+    train_docs = [F.lit(int(all_docs[f"na{i}"] or 0)) - F.col(f"nf{i}") for i in each]
+    prior = own.groupBy("repeat", "fold").agg(*_by_class(classes, F.lit(1), "nf")).select(
+        "repeat", "fold", *[(train_docs[i] / sum(train_docs[1:], train_docs[0])).alias(f"prior{i}") for i in each])
+    stats = prior.join(sizes, ["repeat", "fold"], "left")  # repeats x folds rows
+
+    sums = [F.sum(F.col("n") * safe_ln(F.col(f"n{i}") + F.lit(float(s)))).alias(f"sl{j}_{i}") for j, s in enumerate(smoothings) for i in each]
+    scored = with_fold.select("doc_id", "repeat", "fold", "feature", "n").join(trained, ["repeat", "fold", "feature"]).groupBy(
+        "doc_id", "repeat", "fold").agg(F.sum("n").alias("dlen"), *sums)
+    test = own.select("doc_id", F.col("label").alias("actual"), "repeat", "fold").join(
+        scored, ["doc_id", "repeat", "fold"], "left").join(F.broadcast(stats), ["repeat", "fold"])
+    outs = []
+    for j, s in enumerate(smoothings):
+        scores = [safe_ln(F.col(f"prior{i}")) + F.coalesce(F.col(f"sl{j}_{i}"), F.lit(0.0)) - F.coalesce(F.col("dlen"), F.lit(0))
+                  * safe_ln(F.coalesce(F.col(f"t{i}"), F.lit(0)) + F.lit(float(s)) * F.coalesce(F.col("v"), F.lit(0))) for i in each]
+        outs.append(F.struct(F.lit(float(s)).alias("smoothing"), _argmax(scores, [F.col(f"prior{i}") for i in each], classes).alias("predicted")))
+    res = test.select("repeat", "fold", "doc_id", "actual", F.explode(F.array(*outs)).alias("o"))
+    return res.select("repeat", "o.smoothing", "fold", "doc_id", "actual", "o.predicted")

@@ -146,6 +146,67 @@ def rank_within(freq: DataFrame, group_col="label", n: int | None = None, ties="
     return res
 
 
+# ---------------------------------------------------- k-th value of a group
+def _bin(value: Column) -> Column:
+    """Bin number that does not fall as the value rises: 64 bins for each power of two, mirrored below zero."""
+    size = F.floor(F.log2(F.abs(value)) * 64).cast("long") + 100_000
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
+
+
+def _first_reaching(counts: DataFrame, by: list[str], order: Column, k: Column) -> DataFrame:
+    """Of each group's counted cells in ``order`` the first at which the running count reaches ``k``; adds ``_before``."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    run = counts.withColumn("_upto", F.sum("_c").over(w)).withColumn("_before", F.col("_upto") - F.col("_c"))
+    return run.filter((F.col("_upto") >= k) & (F.col("_before") < k)).drop("_upto", "_c")
+
+
+def kth_values(freq: DataFrame, by: list[str], k: int, value_col="frequency", digits=6) -> DataFrame:
+    """(by, ``_kth``, ``_above``): every group's k-th largest rounded value and how many values lie above it.
+
+    Groups with fewer than k rows have no row.  Rows are counted by bins of their
+    value, then, within the bin that holds the k-th, by value: partial aggregates,
+    so no task receives a group's rows, and windows run over the counts only.
+    """
+    v = F.round(F.col(value_col), digits) if digits is not None else F.col(value_col)
+    cells = freq.select(*by, v.alias("_v")).withColumn("_b", _bin(F.col("_v")))
+    bins = _first_reaching(cells.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c")), by, F.col("_b").desc(), F.lit(k))
+    bins = bins.withColumnRenamed("_before", "_skip")
+    # One row a group: small beside the cells, but its size is not known here, so the join is left to the planner.
+    near = cells.join(bins, [*by, "_b"]).groupBy(*by, "_v", "_skip").agg(F.count(F.lit(1)).alias("_c"))
+    found = _first_reaching(near, by, F.col("_v").desc(), F.lit(k) - F.col("_skip"))
+    return found.select(*by, F.col("_v").alias("_kth"), (F.col("_skip") + F.col("_before")).alias("_above"))
+
+
+def top_k(freq: DataFrame, by: list[str], k: int, value_col="frequency", ties="min", seed=1, digits=6,
+          short_class="keep") -> DataFrame:
+    """Rows of each group with ``rank() <= k`` (``ties='min'``), or the first k with ties in seeded order (``'random'``).
+
+    short_class='drop' leaves out groups with fewer than k rows."""
+    if ties not in ("min", "random"):
+        raise ValueError("ties must be 'min' or 'random'")
+    if short_class not in ("keep", "drop"):
+        raise ValueError("short_class must be 'keep' or 'drop'")
+    kth = kth_values(freq, by, k, value_col, digits)
+    v = F.round(F.col(value_col), digits) if digits is not None else F.col(value_col)
+    # The group alone is the join's key, so its few rows must reach all tasks: one row a class (and fold).
+    rows = freq.join(F.broadcast(kth), by, "inner" if short_class == "drop" else "left")
+    if ties == "min":
+        return rows.filter(F.coalesce(v >= F.col("_kth"), F.lit(True))).drop("_kth", "_above")
+    above = rows.filter(F.coalesce(v > F.col("_kth"), F.lit(True))).drop("_kth", "_above")
+    # Of the rows equal to the k-th value the first by md5, found in the same way: by bins of the hash, then the hash.
+    tied = rows.filter(v == F.col("_kth")).withColumn("_h", F.md5(F.concat_ws(":", F.col("feature"), F.lit(str(seed)))))
+    tied = tied.withColumn("_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("long"))
+    left = F.lit(k) - F.col("_above")
+    w = Window.partitionBy(*by, "_above").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    bins = tied.groupBy(*by, "_above", "_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", F.sum("_c").over(w))
+    bins = bins.select(*by, "_b", (F.col("_upto") - F.col("_c")).alias("_skip"), "_upto")
+    tied = tied.join(bins, [*by, "_b"]).filter(F.col("_skip") < left)
+    whole = tied.filter(F.col("_upto") <= left)
+    w = Window.partitionBy(*by, "_b").orderBy("_h")
+    part = tied.filter(F.col("_upto") > left).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") + F.col("_skip") <= left)
+    return above.unionByName(whole.select(*freq.columns)).unionByName(part.select(*freq.columns))
+
+
 # ------------------------------------------------------------------ D7
 def dictionary_builder(freq: DataFrame, k=1000, short_class="keep", group_col="label") -> DataFrame:
     """Union over classes of the features whose class frequency is at
@@ -153,20 +214,13 @@ def dictionary_builder(freq: DataFrame, k=1000, short_class="keep", group_col="l
 
     short_class='drop' reproduces the studied behaviour where a class with
     fewer than k features contributes nothing; 'keep' keeps all of them."""
-    ranked = rank_within(freq, group_col, n=k, ties="min")
-    if short_class == "drop":
-        sizes = freq.groupBy(group_col).agg(F.count(F.lit(1)).alias("_nf")).filter(F.col("_nf") >= k)
-        ranked = ranked.join(F.broadcast(sizes.select(group_col)), group_col, "left_semi")
-    elif short_class != "keep":
-        raise ValueError("short_class must be 'keep' or 'drop'")
-    return ranked.select("feature").distinct()
+    return top_k(freq, [group_col], k, short_class=short_class).select("feature").distinct()
 
 
 # ------------------------------------------------------------------ D8/D9
 def top_features(d: DataFrame, group_col="label", value_col="n", k=1000, ties="min", seed=1) -> DataFrame:
     """D8 (min ties, rank <= k) / D9 (random ties, first k): distinct features."""
-    return rank_within(frequency(d, group_col, value_col), group_col, n=k, ties=ties, seed=seed) \
-        .select("feature").distinct()
+    return top_k(frequency(d, group_col, value_col), [group_col], k, ties=ties, seed=seed).select("feature").distinct()
 
 
 # ------------------------------------------------------------------ D10/D12

@@ -296,6 +296,27 @@ def q_nb_smoothing_sweep(spark, sf_dir):
     return _summary(nb_cv(spark, sf_dir, smoothings=SMOOTHINGS))
 
 
+SQL_CV_TRAIN = "WITH " + SE.nb_cv_sql(SQL_UNI_COUNTS_LAB, SQL_DOCS_LAB, smoothings=(0.0, 1.0), train_top=1000).lstrip()
+
+
+@query("nb_cv_train_selection", SQL_CV_TRAIN + " SELECT * FROM pred")
+def q_nb_cv_train_selection(spark, sf_dir):
+    """K5 with the vocabulary selected anew on the training documents of every fold (``select_on='train'``)."""
+    counts = unigram_counts(spark, sf_dir, persist=True)
+    docs = td.labelled_corpus(spark, sf_dir).select("doc_id", "label")
+    folds = fo.assign_folds(docs, k=10, seed=1)
+    selected = nb.train_fold_vocabulary(counts, docs, folds, CLASSES)
+    return nb.nb_cross_validate_selected(counts, docs, folds, selected, (0.0, 1.0), CLASSES)
+
+
+@query("train_fold_vocabulary", SQL_CV_TRAIN + " SELECT * FROM sel")
+def q_train_fold_vocabulary(spark, sf_dir):
+    """D7 per fold: the vocabulary of every fold's training documents."""
+    counts = unigram_counts(spark, sf_dir, persist=True)
+    docs = td.labelled_corpus(spark, sf_dir).select("doc_id", "label")
+    return nb.train_fold_vocabulary(counts, docs, fo.assign_folds(docs, k=10, seed=1), CLASSES)
+
+
 SQL_REP = "WITH " + SE.nb_cv_sql(SQL_NB_COUNTS, SQL_DOCS_LAB, repeats=10, smoothings=SMOOTHINGS).lstrip()
 
 

@@ -14,9 +14,33 @@ def folds_sql(docs_sql: str, k=10, seed=1, repeats=1) -> str:
             f"FROM (SELECT DISTINCT doc_id FROM ({docs_sql})) d CROSS JOIN (SELECT unnest(range(1, {repeats + 1})) AS repeat) r")
 
 
-def nb_cv_sql(counts_sql: str, docs_sql: str, k=10, seed=1, repeats=1, smoothings=(1.0,)) -> str:
+def _train_selection_sql(top: int) -> str:
+    """``sel(repeat, fold, feature)``: per-class top features by the tf-idf of the training documents of each fold."""
+    return f"""
+trc AS MATERIALIZED (SELECT fl.repeat, fl.fold, c.label, c.feature, c.n
+        FROM counts c JOIN dd ON c.doc_id = dd.doc_id JOIN fl ON dd.repeat = fl.repeat AND dd.fold <> fl.fold),
+ntr AS (SELECT fl.repeat, fl.fold, count(*) AS nd FROM fl JOIN dd ON dd.repeat = fl.repeat AND dd.fold <> fl.fold GROUP BY ALL),
+tdf AS (SELECT repeat, fold, feature, count(*) AS df FROM trc GROUP BY ALL),
+fre AS (SELECT trc.repeat, trc.fold, trc.label, trc.feature, sum((1 + log10(trc.n)) * log10(ntr.nd / tdf.df)) AS frequency
+        FROM trc JOIN tdf ON tdf.repeat = trc.repeat AND tdf.fold = trc.fold AND tdf.feature = trc.feature
+        JOIN ntr ON ntr.repeat = trc.repeat AND ntr.fold = trc.fold GROUP BY ALL),
+sel AS MATERIALIZED (SELECT DISTINCT repeat, fold, feature FROM (SELECT *, rank() OVER (PARTITION BY repeat, fold, label
+        ORDER BY round(frequency, 6) DESC) AS r FROM fre) WHERE r <= {top}),"""
+
+
+def nb_cv_sql(counts_sql: str, docs_sql: str, k=10, seed=1, repeats=1, smoothings=(1.0,), train_top=None) -> str:
     """CTE chain ending in ``pred(repeat, smoothing, fold, doc_id, actual, predicted)``;
-    also defines ``cls(label)``."""
+    also defines ``cls(label)``.  ``train_top``: features are selected anew on
+    the training documents of every fold."""
+    if train_top is None:
+        select, seen, v_cols, v_on = "", "", "count(DISTINCT feature) AS v FROM counts", "CROSS JOIN vv"
+        seen_train = ""
+    else:
+        select = _train_selection_sql(train_top)
+        seen_train = "JOIN sel ON sel.repeat = fl.repeat AND sel.fold = fl.fold AND sel.feature = c.feature"
+        seen = "JOIN sel ON sel.repeat = dd.repeat AND sel.fold = dd.fold AND sel.feature = c.feature"
+        v_cols = "repeat, fold, count(*) AS v FROM sel GROUP BY ALL"
+        v_on = "JOIN vv ON vv.repeat = dd.repeat AND vv.fold = dd.fold"
     sm = ", ".join(f"CAST({float(s)} AS DOUBLE)" for s in smoothings)
     ninf = "CAST('-inf' AS DOUBLE)"
     return f"""
@@ -25,17 +49,17 @@ docs AS (SELECT doc_id, label FROM ({docs_sql})),
 folds AS ({folds_sql(docs_sql, k, seed, repeats)}),
 sm AS (SELECT unnest([{sm}]) AS s),
 cls AS (SELECT DISTINCT label FROM docs),
-vv AS (SELECT count(DISTINCT feature) AS v FROM counts),
 fl AS (SELECT DISTINCT repeat, fold FROM folds),
-dd AS (SELECT d.doc_id, d.label, f.repeat, f.fold FROM docs d JOIN folds f ON d.doc_id = f.doc_id),
+dd AS (SELECT d.doc_id, d.label, f.repeat, f.fold FROM docs d JOIN folds f ON d.doc_id = f.doc_id),{select}
+vv AS (SELECT {v_cols}),
 trn AS (SELECT fl.repeat, fl.fold, c.label, c.feature, sum(c.n) AS n
-        FROM counts c JOIN dd ON c.doc_id = dd.doc_id JOIN fl ON dd.repeat = fl.repeat AND dd.fold <> fl.fold GROUP BY ALL),
+        FROM counts c JOIN dd ON c.doc_id = dd.doc_id JOIN fl ON dd.repeat = fl.repeat AND dd.fold <> fl.fold {seen_train} GROUP BY ALL),
 tdocs AS (SELECT fl.repeat, fl.fold, cls.label, count(dd.doc_id) AS nd
           FROM fl CROSS JOIN cls LEFT JOIN dd ON dd.repeat = fl.repeat AND dd.fold <> fl.fold AND dd.label = cls.label GROUP BY ALL),
 prior AS (SELECT repeat, fold, label, nd / sum(nd) OVER (PARTITION BY repeat, fold) AS prior FROM tdocs),
 ttot AS (SELECT fl.repeat, fl.fold, cls.label, coalesce(sum(trn.n), 0) AS t
          FROM fl CROSS JOIN cls LEFT JOIN trn ON trn.repeat = fl.repeat AND trn.fold = fl.fold AND trn.label = cls.label GROUP BY ALL),
-tc AS (SELECT dd.doc_id, dd.repeat, dd.fold, c.feature, c.n FROM dd JOIN counts c ON c.doc_id = dd.doc_id),
+tc AS (SELECT dd.doc_id, dd.repeat, dd.fold, c.feature, c.n FROM dd JOIN counts c ON c.doc_id = dd.doc_id {seen}),
 sl AS (SELECT tc.doc_id, tc.repeat, tc.fold, cls.label, sm.s,
               sum(tc.n * CASE WHEN coalesce(trn.n, 0) + sm.s > 0 THEN ln(coalesce(trn.n, 0) + sm.s) ELSE {ninf} END) AS sl,
               sum(tc.n) AS dlen
@@ -45,7 +69,7 @@ sl AS (SELECT tc.doc_id, tc.repeat, tc.fold, cls.label, sm.s,
 sc AS (SELECT dd.doc_id, dd.repeat, dd.fold, dd.label AS actual, cls.label, sm.s, p.prior,
               CASE WHEN p.prior > 0 THEN ln(p.prior) ELSE {ninf} END + coalesce(sl.sl, 0)
               - coalesce(sl.dlen, 0) * CASE WHEN t.t + sm.s * vv.v > 0 THEN ln(t.t + sm.s * vv.v) ELSE {ninf} END AS score
-       FROM dd CROSS JOIN cls CROSS JOIN sm CROSS JOIN vv
+       FROM dd CROSS JOIN cls CROSS JOIN sm {v_on}
        JOIN prior p ON p.repeat = dd.repeat AND p.fold = dd.fold AND p.label = cls.label
        JOIN ttot t ON t.repeat = dd.repeat AND t.fold = dd.fold AND t.label = cls.label
        LEFT JOIN sl ON sl.doc_id = dd.doc_id AND sl.repeat = dd.repeat AND sl.label = cls.label AND sl.s = sm.s),
