@@ -1,47 +1,65 @@
 """Proximity and annotation features (E1–E3, E6, E7, AG1).
 
-Nearest candidate to a target without a pair join: one window pass per
-document finds, for every token, the nearest target position on its left
-(``last`` ignoring nulls) and on its right (``first`` ignoring nulls);
-``min_by`` over (distance, position) then picks the closest candidate,
-ties to the leftmost.  Linear in the number of tokens.
+Nearest candidate to a target without a pair join and without a window over
+the tokens: only targets and candidates of a document are collected, sorted by
+position, and one fold over them keeps the last target, the last candidate
+and the closest pair so far (ties to the leftmost candidate).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmine.functions.lexicons import CLOSEST_TAGS
-from textmine.functions.text import array_lit
 from textmine.operators.util import broadcast_if_small
 
 
-def nearest(long: DataFrame, cand_key: Column, is_target: Column, by=("doc_id",),
-            term_col="term", per_key=False) -> DataFrame:
-    """Closest candidate to any target per document.
+def _marks(long: DataFrame, cand_key: Column, is_target: Column, by: list[str], term_col="term") -> DataFrame:
+    """``(by, _m)``: a document's targets and candidates in the order of their positions."""
+    marks = long.select(*by, F.struct(F.col("pos").cast("int").alias("pos"), F.coalesce(is_target, F.lit(False)).alias("target"),
+                                      cand_key.alias("key"), F.col(term_col).alias("term")).alias("_x"))
+    marks = marks.filter(F.col("_x.target") | F.col("_x.key").isNotNull())
+    return marks.groupBy(*by).agg(F.sort_array(F.collect_list("_x")).alias("_m"))
 
-    ``cand_key`` is non-null on candidate tokens (e.g. their tag class);
-    with ``per_key`` the closest candidate is found per document and key."""
+
+def _closest(marks: Column, is_candidate) -> Column:
+    """(distance, position, term) of the candidate closest to a target; null when there is none."""
+    pair = "struct<dist:int,pos:int,term:string>"
+    start = F.struct(F.lit(None).cast("int").alias("target"), F.lit(None).cast("struct<pos:int,term:string>").alias("cand"),
+                     F.lit(None).cast(pair).alias("best"))
+
+    def step(state, x):
+        target = F.when(x["target"], x["pos"]).otherwise(state["target"])
+        mine = is_candidate(x)
+        # A candidate meets the last target, a target the last candidate: no closer pair lies across those.
+        behind = F.when(mine & target.isNotNull(), F.struct((x["pos"] - target).alias("dist"), x["pos"].alias("pos"), x["term"].alias("term")))
+        ahead = F.when(x["target"] & state["cand"].isNotNull(), F.struct(
+            (x["pos"] - state["cand"]["pos"]).alias("dist"), state["cand"]["pos"].alias("pos"), state["cand"]["term"].alias("term")))
+        return F.struct(target.alias("target"),
+                        F.when(mine, F.struct(x["pos"].alias("pos"), x["term"].alias("term"))).otherwise(state["cand"]).alias("cand"),
+                        F.least(state["best"], behind, ahead).alias("best"))
+
+    return F.aggregate(marks, start, step, lambda state: state["best"])
+
+
+def nearest(long: DataFrame, cand_key: Column, is_target: Column, by=("doc_id",), term_col="term") -> DataFrame:
+    """Closest candidate to any target per document, ``(by, closest)``.
+
+    ``cand_key`` is non-null on candidate tokens."""
     by = list(by)
-    w = Window.partitionBy(*by).orderBy("pos")
-    t = (long.withColumn("_tpos", F.when(is_target, F.col("pos")))
-         .withColumn("_cand", cand_key)
-         .withColumn("_left", F.last("_tpos", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-         .withColumn("_right", F.first("_tpos", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))))
-    dist = F.least(F.col("pos") - F.col("_left"), F.col("_right") - F.col("pos"))
-    c = t.filter(F.col("_cand").isNotNull()).withColumn("_dist", dist).filter(F.col("_dist").isNotNull())
-    keys = [*by, "_cand"] if per_key else by
-    return c.groupBy(*keys).agg(F.min_by(F.col(term_col), F.struct("_dist", "pos")).alias("closest"))
+    marks = _marks(long, cand_key, is_target, by, term_col)
+    found = marks.select(*by, _closest(F.col("_m"), lambda x: x["key"].isNotNull()).alias("_b"))
+    return found.filter(F.col("_b").isNotNull()).select(*by, F.col("_b.term").alias("closest"))
 
 
 def tagged_tokens(annot: DataFrame) -> DataFrame:
     """E6 long form: ``(doc_id, pos, term = lemma_UPOS)``; ``pos`` counts the
     document's tokens in (sid, tid) order, so distances run across sentences."""
-    order = Window.partitionBy("doc_id").orderBy("sid", "tid")
-    return annot.select("doc_id", F.col("sid"), F.col("tid"),
-                        F.concat_ws("_", "lemma", "upos").alias("term"),
-                        F.row_number().over(order).alias("pos"))
+    words = annot.groupBy("doc_id").agg(F.sort_array(F.collect_list(
+        F.struct("sid", "tid", F.concat_ws("_", "lemma", "upos").alias("term")))).alias("_w"))
+    return words.select("doc_id", F.posexplode("_w").alias("_p", "_x")).select(
+        "doc_id", "_x.sid", "_x.tid", "_x.term", (F.col("_p") + 1).alias("pos"))
 
 
 def tagged_text(annot: DataFrame) -> DataFrame:
@@ -59,12 +77,15 @@ def closest_pos(tagged: DataFrame, target_regex: str, tags=CLOSEST_TAGS, docs: D
     cls = F.lit(None).cast("string")
     for tag in reversed(tags):
         cls = F.when(F.col("term").contains("_" + tag), F.lit(tag)).otherwise(cls)
-    res = nearest(tagged, cls, F.col("term").rlike(target_regex), per_key=True)
-    res = res.withColumn("closest", F.regexp_replace("closest", "_(" + "|".join(tags) + ")", ""))
-    wide = res.groupBy("doc_id").pivot("_cand", list(tags)).agg(F.first("closest"))
-    base = docs.select("doc_id").distinct() if docs is not None else tagged.select("doc_id").distinct()
-    out = base.join(wide, "doc_id", "left")
-    return out.select("doc_id", *[F.coalesce(F.col(t), F.lit("")).alias(t.lower()) for t in tags])
+    suffix = "_(" + "|".join(tags) + ")"
+    marks = F.struct("pos", F.col("term").rlike(target_regex).alias("target"), cls.alias("key"), "term")
+    # Tokens that are neither target nor candidate are null, which collect_list leaves out; a document without any keeps its row.
+    kept = F.when(F.col("_x.target") | F.col("_x.key").isNotNull(), F.col("_x"))
+    wide = tagged.select("doc_id", marks.alias("_x")).groupBy("doc_id").agg(F.sort_array(F.collect_list(kept)).alias("_m"))
+    out = docs.select("doc_id").distinct().join(wide, "doc_id", "left") if docs is not None else wide
+    return out.select("doc_id", *[
+        F.coalesce(F.regexp_replace(_closest(F.col("_m"), lambda x, t=t: F.coalesce(x["key"] == t, F.lit(False)))["term"], suffix, ""),
+                   F.lit("")).alias(t.lower()) for t in tags])
 
 
 def closest_in_list(df: DataFrame, wordlist: DataFrame, target_regex: str, text_col="text") -> DataFrame:
@@ -80,10 +101,21 @@ def closest_in_list(df: DataFrame, wordlist: DataFrame, target_regex: str, text_
 
 
 def dependency_triples(annot: DataFrame) -> DataFrame:
-    """``relation_lemma_headlemma`` per dependent with a head in the
-    same sentence (self equi-join on (doc_id, sid, tid))."""
-    dep = annot.select("doc_id", "sid", "tid", "relation", "lemma", "tid_target")
-    head = annot.select("doc_id", "sid", F.col("tid").alias("tid_target"), F.col("lemma").alias("lemma_target"))
-    return (dep.join(head, ["doc_id", "sid", "tid_target"])
-            .select("doc_id", F.struct("sid", "tid").alias("pos"),
-                    F.concat_ws("_", "relation", "lemma", "lemma_target").alias("term")))
+    """``relation_lemma_headlemma`` per dependent with a head in the same sentence.
+
+    A sentence's words stand in one array by ``tid``; a head is read at its place
+    there, or searched for where the ids have gaps.  No join of the words with
+    themselves; of words that share an id in a sentence one is the head."""
+    word = F.struct("tid", "lemma", "relation", "tid_target")
+    sentences = annot.groupBy("doc_id", "sid").agg(F.sort_array(F.collect_list(word)).alias("_w"))
+
+    def head(x):
+        at = F.get(F.col("_w"), x["tid_target"] - 1)
+        found = F.get(F.filter("_w", lambda y: y["tid"] == x["tid_target"]), F.lit(0))
+        return F.when(at["tid"] == x["tid_target"], at["lemma"]).when(x["tid_target"] > 0, found["lemma"])
+
+    pairs = F.transform("_w", lambda x: F.struct(x["tid"].alias("tid"), x["relation"].alias("relation"), x["lemma"].alias("lemma"),
+                                                 head(x).alias("head")))
+    out = sentences.select("doc_id", "sid", F.explode(pairs).alias("x")).filter(F.col("x.head").isNotNull())
+    return out.select("doc_id", F.struct("sid", F.col("x.tid").alias("tid")).alias("pos"),
+                      F.concat_ws("_", "x.relation", "x.lemma", "x.head").alias("term"))
