@@ -325,8 +325,8 @@ def q_select_features(spark, sf_dir):
     return w.select("doc_id", "feature", F.round("weight", 6).alias("weight"))
 
 
-def sql_keyness(target: str, measure: str) -> str:
-    g = f"SELECT label, feature, sum(n) AS n FROM ({SQL_UNI_COUNTS_LAB}) GROUP BY ALL"
+def sql_keyness(target: str, measure: str, counts_sql: str = SQL_UNI_COUNTS_LAB) -> str:
+    g = f"SELECT label, feature, sum(n) AS n FROM ({counts_sql}) GROUP BY ALL"
     per = (f"SELECT feature, CAST(sum(CASE WHEN label = '{target}' THEN n ELSE 0 END) AS DOUBLE) AS n_target, "
            f"CAST(sum(CASE WHEN label <> '{target}' THEN n ELSE 0 END) AS DOUBLE) AS n_reference FROM ({g}) GROUP BY feature")
     if measure == "chi2":
