@@ -1,12 +1,16 @@
 """What may be shuffled: texts and per-feature sums, not the cells of the documents, and not once a repeat."""
 
+import os
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from textmine.operators import bayes as nb
 from textmine.operators import features as ft
 from textmine.operators import folds as fo
 from textmine.operators import lexicon as lx
-from textmine.operators.svm_primal import Blocks
+from textmine.operators.svm import model_specs
+from textmine.operators.svm_primal import Blocks, block_sums, packed, unpacked
 from textmine.operators.util import by_document
 
 
@@ -85,3 +89,53 @@ def test_cells_are_counted_where_their_document_is(spark):
     docs = spark.createDataFrame([(i, "a b a") for i in range(9)], "doc_id long, text string")
     long = by_document(docs).select("doc_id", F.explode(F.split("text", " ")).alias("term"))
     assert _plan(ft.dfm(long)).count("Exchange") == 1
+
+
+def test_a_pass_leaves_nothing_on_the_drivers_disk(spark):
+    dim = 300_000  # a gradient above the size at which Spark writes a task to the disk
+    vec = spark.createDataFrame([(i, "np"[i % 2], [i], [1.0]) for i in range(8)], "doc_id long, label string, idx array<int>, val array<double>")
+    folds = vec.select("doc_id", F.lit(1).alias("repeat"), (F.col("doc_id") % 2).cast("int").alias("fold"))
+    machines = [dict(m, cost=1.0) for m in model_specs(["n", "p"], [(1, 0)])]
+    blocks = Blocks(vec, folds, {"name": "linear", "dim": dim}, machines, [1])
+    w = np.zeros((dim + 1, 1))
+    blocks.sums(w, w, np.ones(1), 0.1)
+
+    def held():
+        return sorted(os.listdir(spark.sparkContext._temp_dir))
+    before = held()
+    losses, part = blocks.sums(w, w, np.ones(1), 0.1)
+    blocks.release()
+    assert held() == before
+    # Fold 0 is left out: the other rows are all of class p, the second of the pair, and fall short by 1.
+    assert np.allclose(losses, 4 * 0.95) and np.allclose(part[-1], 4.0)
+
+
+def test_blocks_keep_sparse_rows_sparse():
+    x = np.zeros((5, 40))
+    x[1, 3] = x[4, 39] = 2.5
+    kept = packed(x)
+    assert len(kept[2]) == 2 and (unpacked(kept) == x).all() and isinstance(packed(x + 1), np.ndarray)
+
+
+def test_a_gradient_of_some_machines_is_that_part_of_all():
+    rng = np.random.default_rng(2)
+    y = rng.integers(-1, 2, (30, 4)).astype(np.int8)
+    block = None, packed(rng.normal(size=(30, 6))), y
+    w = rng.normal(size=(6, 4))
+    some = np.array([1, 3])
+    losses, part = block_sums(block, w, None, np.ones(4), 0.1, None)
+    losses_, part_ = block_sums(block, w[:, some], None, np.ones(2), 0.1, some)
+    assert np.allclose(losses[:, some], losses_, rtol=1e-5) and np.allclose(part[:, some], part_, atol=1e-4)
+
+
+def test_features_out_of_reach_are_not_counted_and_the_vocabulary_is_the_same(spark):
+    rows = [(d, "npo"[d % 3], f"common{j}", 1 + (d + j) % 4) for d in range(90) for j in range(30) if (d * j) % 5 < 3]
+    rows += [(d, "npo"[d % 3], f"rare {d} {j}", 1) for d in range(90) for j in range(40)]
+    counts = spark.createDataFrame(rows, "doc_id long, label string, feature string, n long").cache()
+    whole = ft.tfidf_class_frequency(counts, 90, classes=["n", "o", "p"])
+    # Up to classes shorter than k; with few buckets rare features share theirs with common ones.
+    for k, buckets in ((1, 512), (4, 1 << 16), (12, 512), (40, 1 << 16), (5000, 512)):
+        some = ft.reachable_class_frequency(counts, 90, k, ["n", "o", "p"], buckets=buckets)
+        got = {r[0] for r in ft.dictionary_builder(some, k).collect()}
+        assert got == {r[0] for r in ft.dictionary_builder(whole, k).collect()}
+        assert k != 4 or some.count() < whole.count() / 3
