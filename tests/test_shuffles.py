@@ -12,6 +12,7 @@ from textmine.operators import lexicon as lx
 from textmine.operators.svm import model_specs
 from textmine.operators.svm_primal import Blocks, block_sums, packed, unpacked
 from textmine.operators.util import by_document
+from textmine.plans.catalog import QUERIES
 
 
 def _counts(spark):
@@ -139,3 +140,34 @@ def test_features_out_of_reach_are_not_counted_and_the_vocabulary_is_the_same(sp
         got = {r[0] for r in ft.dictionary_builder(some, k).collect()}
         assert got == {r[0] for r in ft.dictionary_builder(whole, k).collect()}
         assert k != 4 or some.count() < whole.count() / 3
+
+
+def _tables(spark, tmp_path, rows):
+    """documents and labels of ``rows`` (doc_id, text, toxic, quality), which queries read."""
+    docs = spark.createDataFrame([(r[0], r[1], "en", "web") for r in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows if r[2] is not None], "doc_id long, toxic int, quality int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_neutral_documents_are_left_out_before_their_words_are_counted(spark, tmp_path):
+    sf = _tables(spark, tmp_path, [(1, "one two two", 1, 0), (2, "three four", 0, 0), (3, "five", 0, 1), (4, "six", None, None)])
+    kept = len(spark._jsc.getPersistentRDDs())
+    out = QUERIES["subset_docs"](spark, sf)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "n", "one", 1), (1, "n", "two", 2), (3, "p", "five", 1)]
+    assert "InMemoryTableScan" not in _plan(out) and len(spark._jsc.getPersistentRDDs()) == kept
+    lines = _plan(out).split("== Initial Plan ==")[-1].splitlines()
+    joined, counted = (min(i for i, line in enumerate(lines) if word in line) for word in ("LeftSemi", "HashAggregate"))
+    assert joined > counted  # the join feeds the count
+
+
+def test_tfidf_counts_a_text_once_and_does_not_sort_the_cells(spark, tmp_path):
+    sf = _tables(spark, tmp_path, [(i, f"all word{i % 3} word{i % 3}", 0, 1) for i in range(9)])
+    out = _without_broadcast_by_size(spark, lambda: QUERIES["tfidf"](spark, sf))
+    plan = _without_broadcast_by_size(spark, lambda: _plan(out))
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("InMemoryTableScan") == 2
+    got = sorted((r["doc_id"], r["feature"], r["n"], r["weight"]) for r in out.collect())
+    weight = round((1 + np.log10(2)) * np.log10(3), 6)
+    assert got == sorted(x for i in range(9) for x in ((i, "all", 1, 0.0), (i, f"word{i % 3}", 2, weight)))
+    spark.catalog.clearCache()
