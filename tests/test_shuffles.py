@@ -13,6 +13,8 @@ from textmine.operators.svm import model_specs
 from textmine.operators.svm_primal import Blocks, block_sums, packed, unpacked
 from textmine.operators.util import by_document
 from textmine.plans.catalog import QUERIES
+from textmine.plans.text_queries import annotations
+from textmine.sources import testdata as td
 
 
 def _counts(spark):
@@ -171,3 +173,10 @@ def test_tfidf_counts_a_text_once_and_does_not_sort_the_cells(spark, tmp_path):
     weight = round((1 + np.log10(2)) * np.log10(3), 6)
     assert got == sorted(x for i in range(9) for x in ((i, "all", 1, 0.0), (i, f"word{i % 3}", 2, weight)))
     spark.catalog.clearCache()
+
+
+def test_annotated_texts_of_a_selection_are_dealt_out_once(spark, tmp_path):
+    sf = _tables(spark, tmp_path, [(i, f"some word{i} there", i % 2, 1) for i in range(6)])
+    annot = annotations(spark, sf, of=td.labels(spark, sf))
+    assert "InMemoryTableScan" in _plan(annot) and annot.select("doc_id").distinct().count() == 6
+    spark.catalog.clearCache()
