@@ -180,3 +180,46 @@ def test_annotated_texts_of_a_selection_are_dealt_out_once(spark, tmp_path):
     annot = annotations(spark, sf, of=td.labels(spark, sf))
     assert "InMemoryTableScan" in _plan(annot) and annot.select("doc_id").distinct().count() == 6
     spark.catalog.clearCache()
+
+
+def test_texts_of_a_selection_are_cut_into_words_once(spark, tmp_path):
+    sf = _tables(spark, tmp_path, [(1, "The words, at https://x.y some 12 there", 1, 0), (2, None, 1, 0), (3, "of", 0, 1), (4, "other words", None, None)])
+    annot = annotations(spark, sf, of=td.labels(spark, sf))
+    above = _plan(annot).split("== Initial Plan ==")[-1].split("InMemoryRelation")[0]
+    assert "InMemoryTableScan" in above and "regexp_extract_all" not in above
+    whole = annotations(spark, sf).filter("doc_id < 4")
+    assert sorted(map(tuple, annot.collect())) == sorted(map(tuple, whole.collect())) and annot.count() == 4
+    spark.catalog.clearCache()
+
+
+def test_marker_tables_clean_the_labelled_texts_once(spark, tmp_path):
+    sf = _tables(spark, tmp_path, [(i, f"In the case is word{i} not and was there we", i % 2, 1) for i in range(6)] + [(9, "we are not", None, None)])
+    for name in ("marker_counts_table", "marker_table"):
+        out = QUERIES[name](spark, sf)
+        assert _plan(out).count("InMemoryTableScan") >= 3  # the lexicon's and both closest parts
+        assert {r["doc_id"] for r in out.select("doc_id").collect()} == set(range(6))
+        spark.catalog.clearCache()
+
+
+def test_lexicon_words_alone_are_counted(spark):
+    long = spark.createDataFrame([(1, 1, "We"), (1, 2, "we"), (1, 3, "other"), (2, 1, "it"), (2, 2, None)], "doc_id long, pos int, term string")
+    out = lx.lexicon_features(long, {"FPP": ["we", "m?"], "TPP": ["it"]}, boolean=False)
+    assert sorted(map(tuple, out.collect())) == [(1, "FPP", 2), (2, "TPP", 1)]
+    lines = _plan(out).split("== Initial Plan ==")[-1].splitlines()
+    assert max(i for i, line in enumerate(lines) if "Filter" in line and "RLIKE" in line) > max(i for i, line in enumerate(lines) if "HashAggregate" in line)
+
+
+def test_the_ranking_makes_the_cells_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def cell(i):
+        made.add(1)
+        return i, "npo"[i % 3], f"w{i * i % 31}", 1 + i % 4
+
+    cells = spark.sparkContext.parallelize(range(240), 4).map(cell)
+    counts = spark.createDataFrame(cells, "doc_id long, label string, feature string, n long")
+    got = {r[0] for r in ft.top_features(counts, k=5, ties="random").collect()}
+    assert made.value == 240
+    freq = ft.frequency(counts)
+    assert got == {r["feature"] for r in ft.rank_within(freq, n=5, ties="random").collect()}
+    spark.catalog.clearCache()
