@@ -223,3 +223,12 @@ def test_the_ranking_makes_the_cells_once(spark):
     freq = ft.frequency(counts)
     assert got == {r["feature"] for r in ft.rank_within(freq, n=5, ties="random").collect()}
     spark.catalog.clearCache()
+
+
+def test_a_kept_table_of_columns_is_found_in_a_join_with_itself(spark):
+    wide = spark.createDataFrame([(1, 2, 0), (2, 5, 1), (3, None, 1)], "doc_id long, Count long, Separate long")
+    long = ft.columns_to_dfm(wide, ["Count", "Separate"]).persist()
+    assert sorted(map(tuple, long.collect())) == [(1, "Count", 2), (2, "Count", 5), (2, "Separate", 1), (3, "Separate", 1)]
+    both = long.join(long.groupBy("feature").agg(F.count("*").alias("docs")), "feature")
+    assert str(both._jdf.queryExecution().withCachedData().toString()).count("InMemoryRelation") == 2
+    long.unpersist()
