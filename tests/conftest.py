@@ -22,6 +22,7 @@ def spark():
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.optimizer.windowGroupLimitThreshold", "100000")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.sql.ui.retainedExecutions", "10")  # their plans' texts take megabytes each
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     # tests only: a scratch checkpoint folder (clusters name a shared one)
@@ -31,6 +32,14 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(autouse=True)
+def released(request):
+    """What a query has kept goes after the comparison with its twin, as one session runs them all."""
+    yield
+    if {"spark", "duck"} <= set(request.fixturenames):
+        request.getfixturevalue("spark").catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
